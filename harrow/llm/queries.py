@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from harrow.llm.language import op7_language
+from harrow.llm.ngram_join import op2_ngram_join
 from harrow.llm.packing import op9_packing
 from harrow.llm.quality import op8_quality
 from harrow.llm.secrets import op4_secrets
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_secrets": op4_secrets,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
