@@ -4,10 +4,10 @@
 2. The sets go through one packed shuffle by ranges of the hashes. There every n-gram's number of classes is counted, and
    n-grams of a single class are dropped: they can't be shared. The others return to their classes with their counts,
    which is the global order, rarest first. A class whose prefix holds only n-grams of its own has no partner and ends here.
-3. Classes meet on the n-grams of their prefixes. First each class is held against the shortest one that has the n-gram;
-   classes linked that way are connected. Then all remaining pairs of classes that share an n-gram of their prefixes, are
-   in different components and pass the length and positional filters are verified, once each. So no group of copies
-   is written out as all of its pairs, and still no link between two components is missed.
+3. Classes meet on the n-grams of their prefixes. In a few rounds each class is held against one class for each n-gram,
+   and classes linked that way become one part. Then all remaining pairs of classes that share an n-gram of their
+   prefixes, are in different parts and pass the length, positional and parity filters are verified, once each. So no group
+   of copies is written out as all of its pairs, and still no link between two parts is missed.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ from harrow.llm.components import components
 #: Postings that a task packs together.
 PACKED = 3_000_000
 TOKEN_BITS = 48
+#: Bits of the parity filter, and the columns that hold them.
+BITS = 256
+WORDS = [f"bits{i}" for i in range(BITS // 64)]
+#: Times that classes are held against one class for each n-gram before all remaining pairs are.
+ROUNDS = 4
 
 
 def n_grams(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -193,21 +198,31 @@ def candidates(shared: DataFrame, ranges: int, num: int, den: int) -> DataFrame:
     return shared.repartitionById(ranges, F.col("shard")).mapInArrow(run, "sig long, n long, keys binary")
 
 
+def parity(keys: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs: each says whether an odd number of the keys fall on it. Where two sets' bits differ, the sets differ in a key or more."""
+    odd = np.bincount((keys % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """key, sig, n, rest for each shared n-gram in the prefix of a class; rest: n-grams of the set from this one on, in the global order."""
+    """key, sig, n, rest, own, bits for each shared n-gram in the prefix of a class.
+
+    rest: n-grams of the set from this one on, in the global order; own: n-grams that no other class has; bits: parity() of the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for sig, n, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = np.frombuffer(keys, np.int64)
+                key = np.frombuffer(keys, np.uint64)
                 own = n - len(key)  # these come before all shared ones
                 some = key[: n + (-num * n // den) + 1 - own]
-                out.append((some, np.full(len(some), sig), np.full(len(some), n), n - own - np.arange(len(some))))
+                same = [np.full(len(some), x) for x in (sig, n, own, *parity(key))]
+                out.append((some.view(np.int64), *same[:2], n - own - np.arange(len(some)), *same[2:]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["key", "sig", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["key", "sig", "n", "rest", "own", *WORDS])
 
-    return classes.select("sig", "n", "keys").mapInArrow(run, "key long, sig long, n long, rest long")
+    return classes.select("sig", "n", "keys").mapInArrow(run, "key long, sig long, n long, rest long, own long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
@@ -239,35 +254,62 @@ def verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
 
 def _possible(num: int, den: int):
-    """Length and positional filters for two prefix rows e and o."""
+    """Length, positional and parity filters for two prefix rows e and o. Each only rules out pairs that can't be similar enough."""
+    total = F.col("e.n") + F.col("o.n")
     length = den * F.least("e.n", "o.n") >= num * F.greatest("e.n", "o.n")
-    return length & ((num + den) * F.least("e.rest", "o.rest") >= num * (F.col("e.n") + F.col("o.n")))
+    position = (num + den) * F.least("e.rest", "o.rest") >= num * total
+    differ = F.col("e.own") + F.col("o.own")
+    for w in WORDS:
+        differ = differ + F.bit_count(F.col(f"e.{w}").bitwiseXOR(F.col(f"o.{w}")))
+    return length & position & ((num + den) * (total - differ) >= 2 * num * total)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """Distinct pairs of classes, with the parts that they are in, from prefix rows e joined with o."""
+    swap = F.col("e.sig") > F.col("o.sig")
+    row = F.when(swap, F.struct(F.col("o.sig").alias("a"), F.col("e.sig").alias("b"))).otherwise(F.struct(F.col("e.sig").alias("a"), F.col("o.sig").alias("b")))
+    return joined.select(row.alias("p")).select("p.a", "p.b").distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of n-grams on which two or more parts meet, with the smallest of these parts."""
+    found = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
+    return checkpoint(rows.drop("least").join(checkpoint(found.select("key", "least")), "key"))
 
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str = "text") -> DataFrame:
     """(sig, component) of all classes of texts with a link to another class; component is the smallest signature."""
     ranges = shards(docs.sparkSession)
     classes = checkpoint(candidates(shared_grams(postings(docs, size, ranges, text_col), ranges), ranges, num, den))
-    entries = checkpoint(prefixes(classes, num, den))
-    heads = entries.groupBy("key").agg(F.min(F.struct("n", "sig", "rest")).alias("o"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    heads = checkpoint(heads.select("key", "o"))
-    stars = entries.alias("e").join(heads.select(F.col("key").alias("head"), "o"), (F.col("key") == F.col("head")) & (F.col("e.sig") != F.col("o.sig")) & _possible(num, den))
-    tried = checkpoint(stars.select(F.least("e.sig", "o.sig").alias("a"), F.greatest("e.sig", "o.sig").alias("b")).distinct())
-    links = checkpoint(verified(tried, classes, num, den))
-    found = components(links)
-    rows = entries.join(heads.select("key"), "key", "left_semi").join(found, F.col("sig") == F.col("id"), "left")
-    rows = checkpoint(rows.select("key", "sig", "n", "rest", F.coalesce("component", "sig").alias("part")))
-    mixed = checkpoint(rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key", "least"))
-    rows = checkpoint(rows.join(mixed, "key"))
-    # of two different components, one at least isn't the smallest of the n-gram
-    other = rows.where("part <> least").select(F.struct("sig", "n", "rest", "part").alias("o"), F.col("key").alias("other"))
+    rows = _mixed(prefixes(classes, num, den).withColumn("part", F.col("sig")))
+    value = ("sig", "n", "rest", "own", *WORDS, "part")
+    tried, links = None, None
+
+    def verify(joined: DataFrame) -> DataFrame:
+        """Links among the pairs of joined that haven't been tried; tried and links are brought up to date."""
+        nonlocal tried, links
+        pairs = _pairs(joined)
+        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        new = checkpoint(verified(pairs, classes, num, den))
+        links = new if links is None else links.union(new)
+        return new
+
+    for turn in range(ROUNDS):
+        # the class with the fewest rarer n-grams is the one least changed; later rounds take others, so that parts meet in new places
+        order = F.struct((F.col("n") - F.col("rest") if turn == 0 else F.xxhash64("sig", F.lit(turn))).alias("order"), *value)
+        heads = checkpoint(rows.groupBy(F.col("key").alias("head")).agg(F.min(order).alias("o")))
+        new = verify(rows.alias("e").join(heads, (F.col("key") == F.col("head")) & (F.col("e.part") != F.col("o.part")) & _possible(num, den)))
+        if new.isEmpty():
+            break
+        parts_of = checkpoint(components(links))
+        rows = rows.join(parts_of, F.col("sig") == F.col("id"), "left").withColumn("part", F.coalesce("component", "part")).drop("id", "component")
+        rows = _mixed(checkpoint(rows))
+    # of two different parts, one at least isn't the smallest of the n-gram
+    other = rows.where("part <> least").select(F.struct(*value).alias("o"), F.col("key").alias("other"))
     crossing = ((F.col("e.part") == F.col("e.least")) | (F.col("e.part") < F.col("o.part"))) & (F.col("e.part") != F.col("o.part"))
-    pairs = rows.alias("e").join(other, (F.col("e.key") == F.col("other")) & crossing & _possible(num, den))
-    pairs = pairs.select(F.least("e.sig", "o.sig").alias("a"), F.greatest("e.sig", "o.sig").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = checkpoint(verified(checkpoint(pairs), classes, num, den))
-    merged = components(more.alias("m").join(found.alias("f"), F.col("m.a") == F.col("f.id"), "left").select(F.coalesce("f.component", "m.a").alias("a"), "b").alias("m").join(found.alias("f"), F.col("m.b") == F.col("f.id"), "left").select("a", F.coalesce("f.component", "m.b").alias("b")))
-    first = found.select(F.col("id").alias("sig"), "component").union(merged.join(found, "id", "left_anti").select("id", F.col("id")))
-    return checkpoint(first.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("sig", F.coalesce("to", "component").alias("component")))
+    verify(rows.alias("e").join(other, (F.col("e.key") == F.col("other")) & crossing & _possible(num, den)))
+    return components(links).select(F.col("id").alias("sig"), "component")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
