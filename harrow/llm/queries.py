@@ -5,6 +5,7 @@ from __future__ import annotations
 from harrow.llm.language import op7_language
 from harrow.llm.neighbours import op6_neighbours
 from harrow.llm.ngram_join import op2_ngram_join
+from harrow.llm.ngram_lm import op3_ngram_lm
 from harrow.llm.packing import op9_packing
 from harrow.llm.quality import op8_quality
 from harrow.llm.secrets import op4_secrets
@@ -12,6 +13,7 @@ from harrow.llm.vector_dedup import OP5_SQL, op5_embedding_dedup
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_ngram_lm": op3_ngram_lm,
     "op4_secrets": op4_secrets,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_neighbours": op6_neighbours,
