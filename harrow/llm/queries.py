@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from harrow.llm.chat import OP1_SQL, op1_chat
 from harrow.llm.language import op7_language
 from harrow.llm.neighbours import op6_neighbours
 from harrow.llm.ngram_join import op2_ngram_join
@@ -12,6 +13,7 @@ from harrow.llm.secrets import op4_secrets
 from harrow.llm.vector_dedup import OP5_SQL, op5_embedding_dedup
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_ngram_join": op2_ngram_join,
     "op3_ngram_lm": op3_ngram_lm,
     "op4_secrets": op4_secrets,
@@ -21,4 +23,4 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embedding_dedup": OP5_SQL}

@@ -129,9 +129,9 @@ with recursive v as (
   where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
 ), links as (
   select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {LEAST}
-), reach(id, at) as (
-  select a, a from links union select r.id, l.b from reach r join links l on l.a = r.at
+), reach(id, far) as (
+  select a, a from links union select r.id, l.b from reach r join links l on l.a = r.far
 )
 select e.vec_id, cast(coalesce(n, 0) as bigint) n_links, coalesce(c, e.vec_id) component_id, coalesce(c, e.vec_id) = e.vec_id kept
-from embeddings e left join (select a, count(*) n from links group by a) l on e.vec_id = l.a left join (select id, min(at) c from reach group by id) r on e.vec_id = r.id
+from embeddings e left join (select a, count(*) n from links group by a) l on e.vec_id = l.a left join (select id, min(far) c from reach group by id) r on e.vec_id = r.id
 """
