@@ -8,6 +8,7 @@ from harrow.llm.neighbours import op6_neighbours
 from harrow.llm.ngram_join import op2_ngram_join
 from harrow.llm.ngram_lm import op3_ngram_lm
 from harrow.llm.packing import op9_packing
+from harrow.llm.pieces import op10_pieces
 from harrow.llm.quality import op8_quality
 from harrow.llm.secrets import op4_secrets
 from harrow.llm.vector_dedup import OP5_SQL, op5_embedding_dedup
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embedding_dedup": OP5_SQL}
