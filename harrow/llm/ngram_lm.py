@@ -30,7 +30,7 @@ PRIOR = 1000.0
 #: Bits by which a word before is known within the range of its word.
 BITS = 40
 #: Tokens that a task packs together, and texts (an index has 15 bits and one for training).
-PACKED, TEXTS = 3_000_000, 32_000
+PACKED, TEXTS = 2_000_000, 32_000
 END, START = np.uint64(0x0E17), np.uint64(0x57A7)
 LEVELS = 65_535
 

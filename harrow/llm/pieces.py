@@ -51,9 +51,9 @@ class Transducer:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == UNKNOWN), 0)
-        self.longest = max(map(len, self.ids), default=1)
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.encode() if p.type in (NORMAL, USER) else b" \xe2\x81\x87 " if p.type == UNKNOWN else b"" for p in model.pieces]
         self.joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}  # characters that stand together in some piece
+        self.starts = {p[:i] for p in self.ids for i in range(1, len(p))}
         self.tied = re.compile(f"{BLANK}{BLANK}")
         self.least = min(self.score, default=0.0) - 10
         self.follows: dict[tuple[int, int], bool] = {}
@@ -89,30 +89,41 @@ class Transducer:
         """Weight of the arc of piece after last."""
         if self.kind == UNIGRAM:
             return -self.score[piece] if piece >= 0 else -self.least
-        if last < 0 or piece < 0:
-            return 0.0 if piece < 0 or last < START or self.merged(self.text[piece]) == [piece] else INFINITY
+        if piece < 0:
+            return 0.0
+        last = max(last, START)  # after an unknown character as at the start
         if (last, piece) not in self.follows:
             if len(self.follows) >= self.PAIRS:
                 self.follows.clear()
-            self.follows[last, piece] = self.merged(self.text[last] + self.text[piece]) == [last, piece]
+            pair = [piece] if last == START else [last, piece]
+            self.follows[last, piece] = self.merged("".join(self.text[p] for p in pair)) == pair
         return 0.0 if self.follows[last, piece] else INFINITY
 
     def shortest_path(self, text: str) -> list[int]:
         """Pieces on the shortest path of the composition of the pieces with text."""
-        size, get, weight, bpe = len(text), self.ids.get, self.weight, self.kind == BPE
+        size, get, starts = len(text), self.ids.get, self.starts
+        follows, bpe = self.follows, self.kind == BPE
         cost, last, back = [0.0] + [INFINITY] * size, [START] * (size + 1), [0] * (size + 1)
-        for end in range(1, size + 1):
-            for begin in range(max(0, end - self.longest), end):
-                piece = get(text[begin:end])
+        for begin in range(size):
+            before, so_far = last[begin], cost[begin]
+            for end in range(begin + 1, size + 1):
+                part = text[begin:end]
+                piece = get(part)
                 if piece is None:
-                    if end - begin > 1:
+                    if end == begin + 1:
+                        piece = START - 1 - ord(part)
+                    elif part in starts:
                         continue
-                    piece = START - 1 - ord(text[begin])
-                total = cost[begin] + weight(last[begin], piece)
-                if total < cost[end]:
+                    else:
+                        break
+                if bpe:
+                    # one arc into each position has a finite weight, so what has been reached is settled
+                    if cost[end] == INFINITY and ((fits := follows.get((before, piece))) or fits is None and self.weight(before, piece) == 0.0):
+                        cost[end], last[end], back[end] = 0.0, piece, begin
+                elif (total := so_far + self.weight(before, piece)) < cost[end]:
                     cost[end], last[end], back[end] = total, piece, begin
-                    if bpe:
-                        break  # no other arc into this position has a finite weight
+                if piece < 0 and part not in starts:
+                    break
         out, at = [], size
         while at:
             out.append(last[at])
