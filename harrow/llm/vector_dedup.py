@@ -125,8 +125,8 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Cosines and links of all pairs, then the smallest vec_id that links reach.
 OP5_SQL = f"""
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> cast(x as double)) e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {LEAST}
 ), reach(id, far) as (
