@@ -47,7 +47,9 @@ class ChunkReader(DataSourceReader):
             found = catalog.shard(found, int(self.options["index"]), int(self.options["peers"]))
         return [Chunk(p) for p in found]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunk | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark reads a table without chunks so
+            return
         system, _ = catalog.filesystem(self.options["path"])
         names = self.schema.names
         kinds = [{"string": pa.string(), "bigint": pa.int64(), "float": pa.float32()}[f.dataType.simpleString()] for f in self.schema.fields]
