@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from harrow.functions.keys import exact_sum, hash_bucket, trie_bucket
 
@@ -45,8 +46,14 @@ def exchange(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def sort(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows sorted by key within partitions, equal neighbours joined: Spark uses a sort aggregate where spark.sql.execution.replaceHashWithSortAgg is set."""
-    return pairs.repartition(buckets, "key").sortWithinPartitions("key").groupBy("key").agg(exact_sum(F.col("value")).alias("total"))
+    """Rows sorted by key within partitions, equal neighbours joined by a running sum of which the last row of each key stays.
+
+    Sorting spills, and a running sum holds one row, so memory doesn't grow with keys or groups. (Spark drops a plain sort below a sum.)
+    """
+    run = Window.partitionBy("key").orderBy("value")
+    total = F.sum(F.col("value").cast("decimal(18,2)")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = pairs.repartition(buckets, "key").select("key", total.alias("total"), F.lead(F.lit(1)).over(run).isNull().alias("last"))
+    return rows.where("last").select("key", F.col("total").cast("double").alias("total"))
 
 
 def weighted(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
