@@ -11,9 +11,10 @@ from harrow.llm.common import checkpoint
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for each end of links (a, b); component is the smallest id that can be reached.
 
-    In each round every node takes on the smallest of itself and its neighbours, twice over; links are then carried over to
-    what their ends took on, and those that became loops go. The number of nodes falls by a constant factor or more each
-    round. Nulls in links are left out; repeated links and loops do no harm; without links there are no rows.
+    In each round every node hooks on to the smallest of itself and its neighbours, and hooks are followed to their ends, in
+    as many joins as the logarithm of the longest chain. Links are then carried over to these ends, and those that became
+    loops go; only nodes without a smaller neighbour are left. Nulls in links are left out; repeated links and loops do no
+    harm; without links there are no rows.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = checkpoint(links.distinct())
@@ -21,7 +22,13 @@ def components(links: DataFrame) -> DataFrame:
     while labels is None or not links.isEmpty():
         both = links.union(links.select("b", "a"))
         step = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
-        step = checkpoint(step.join(step.select(F.col("a").alias("to"), F.col("to").alias("root")), "to").select("a", "root"))
+        while True:
+            far = step.select(F.col("a").alias("to"), F.col("to").alias("root"))
+            jumped = checkpoint(step.join(far, "to").select("a", "to", "root"))
+            step = jumped.select("a", F.col("root").alias("to"))
+            if jumped.where("root <> to").isEmpty():
+                break
+        step = step.withColumnRenamed("to", "root")
         if labels is None:
             labels = step.select(F.col("a").alias("id"), F.col("root").alias("component"))
         else:
