@@ -1,0 +1,343 @@
+"""Nulls in any column, empty and long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
+
+import base64
+import gzip
+import json
+import math
+import urllib.parse
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from harrow.llm import cells, chat, components, language, neighbours, ngram_join, ngram_lm, packing, pieces, quality, secrets, vector_dedup
+from harrow.llm.common import tokens_of
+
+BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+LONG = "palabra " * 40_000
+ROWS = [(1, "a b c d e f", "en"), (2, "a b c d e f", "en"), (2, "a b c d e f", "en"), (3, "", None), (4, None, "fr"), (None, "a b c d e f", None), (None, None, None), (5, LONG, "es"), (6, "x", "en"), (7, " \t\n", "en"), (8, "é 一 😀", "fr")]
+EXTRA = "start, length, ids, sig, n, key, score, predicted, lang_pred, secrets, component_id, sequence_id, shard, id, train".split(", ")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Rows with every kind of odd value, and columns whose names operators use inside."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    return df.select("*", *[F.lit(7).alias(c) for c in EXTRA])
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def by_row(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_tokens():
+    texts = [b"", b" ", b"Ab c\x0bd\xc2\xa0e", b"x" * 3_000_000, b"a " * 1_500_000, b"ab"]
+    found, begins = tokens_of(texts)
+    assert np.diff(begins).tolist() == [len(t.split()) for t in texts]
+    assert found[begins[2]] == found[begins[5]] and len(set(found.tolist())) == len({w for t in texts for w in t.lower().split()})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=6))
+def test_tokens_are_those_of_split(texts):
+    found, begins = tokens_of(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert np.diff(begins).tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(found.tolist(), words, strict=True))) == len(set(words)) == len(set(found.tolist()))
+
+
+def test_packing(docs, none):
+    found = packing.layout(packing.encode_pieces(docs, BPE)).toPandas()
+    enc = packing.encoder(BPE)
+    for (doc, start), g in found[found.doc_id == 5].groupby(["doc_id", "start"]):
+        assert len(g) == 1 and g.length.iloc[0] <= 2048
+    whole = b"".join(found[found.doc_id == 5].sort_values("start").ids)
+    assert whole == enc.exact(LONG).tobytes() + np.array([1], "<u4").tobytes()
+    assert found[found.doc_id.isin([3, 4])].length.tolist() == [1, 1] and (found.doc_id.isna()).sum() == 2 and (found.doc_id == 2).sum() == 2
+    for _, g in found.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+    assert packing.pack(none, BPE).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_best_fit(sizes):
+    sizes = np.sort(np.array(sizes, np.int64))[::-1]
+    sequence, offset, opened = packing.best_fit_decreasing(sizes, 64)
+    rooms, plain = [], []
+    for s in sizes.tolist():
+        fit = [r for r in rooms if r >= s]
+        if fit:
+            rooms[rooms.index(min(fit))] -= s
+        else:
+            rooms.append(64 - s)
+        plain.append(s)
+    assert opened == len(rooms) and sorted(64 - r for r in rooms) == sorted(np.bincount(sequence, sizes, opened).astype(int).tolist() if opened else [])
+    for i in range(opened):
+        mine = np.flatnonzero(sequence == i)
+        assert offset[mine].tolist() == np.concatenate(([0], np.cumsum(sizes[mine])))[:-1].tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(list(" \n\tab.'s1é<|endoftext|>一 !")), max_size=30))
+def test_ids_are_those_of_the_tokenizer(text):
+    enc = packing.encoder(BPE)
+    assert enc.encode(text) == enc.exact(text).tobytes()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(list(" ▁the ing12")), max_size=40))
+def test_pieces_are_those_of_sentencepiece(text):
+    import sentencepiece
+
+    ours, theirs = pieces.compiled(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    if "\0" not in text:
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text)
+        assert ours.decode(ours.encode(text)) == text.replace("▁", " ")
+
+
+def test_pieces_of_rows(docs, none):
+    found = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    assert by_row(found.select("doc_id", "text")) == by_row(docs.select("doc_id", "text"))
+    assert set(EXTRA) - {"ids"} <= set(found.columns) and pieces.encode(none, PIECES).count() == 0
+
+
+SECRET = 'password = "hunter2hunter2"'
+WRAPPED = {
+    "percent": urllib.parse.quote(SECRET, safe=""),
+    "unicode": "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    "base64": base64.b64encode(SECRET.encode()).decode(),
+    "url base64": base64.urlsafe_b64encode(("??>>" + SECRET).encode()).decode(),
+    "gzip": base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+    "nested": base64.b64encode(base64.b64encode(zlib.compress(urllib.parse.quote(SECRET, safe="%").encode()))).decode(),
+    "twice": urllib.parse.quote(urllib.parse.quote(SECRET, safe="")),
+}
+
+
+@pytest.mark.parametrize("kind", WRAPPED)
+def test_wrapped_secrets(kind):
+    text = f"é some words {WRAPPED[kind]} more words"
+    (start, end, name, layer), *_ = found = secrets.secrets_of(text)
+    assert name == "assign" and layer and text[start:end] in WRAPPED[kind] and end <= text.index(" more") and len(found) == 1
+    assert "hunter2" not in "".join(str(s) for s in secrets.secrets_of(secrets.redacted(text)))
+
+
+def test_plain_secrets():
+    found = secrets.scan("token=apikey: abcdefghij AKIAABCDEFGHIJKL AKIA12 " + "0a" * 16 + " PASSWD : 'aaaaaaaa' password=short")
+    assert [(k, e - s) for s, e, k in found] == [("access", 16), ("hex", 32), ("assign", 18)]
+    bomb = base64.b64encode(zlib.compress(bytes(1 << 27))).decode()
+    assert secrets.secrets_of(bomb) == [] and secrets.secrets_of("%41" * 3 + "\\ud800 %ff %E9") == []
+
+
+def test_secrets_of_rows(spark, docs, none):
+    assert secrets.find_secrets(docs).where("size(secrets) = 0").count() == len(ROWS) and secrets.find_secrets(none).count() == 0
+    assert by_row(secrets.redact_secrets(docs)) == by_row(docs)
+    one = spark.createDataFrame([(1, SECRET, 27)], "doc_id long, text string, n_chars long")
+    assert tuple(secrets.redact_secrets(one).first()) == (1, '[REDACTED]"', 11)
+
+
+def plain_components(sets, linked):
+    names = sorted(sets)
+    least = {i: i for i in names}
+    for _ in names:
+        for a in names:
+            for b in names:
+                if a < b and linked(sets[a], sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
+def test_jaccard_against_brute_force(spark, size, num):
+    rng = np.random.default_rng(size)
+    texts = {}
+    for base in range(6):
+        words = [f"w{rng.integers(400)}" for _ in range(40 + 20 * base)]
+        for copy in range(8):
+            mine = list(words)
+            for _ in range(copy % 4):
+                mine[rng.integers(len(mine))] = f"x{rng.integers(9)}"
+            texts[100 * copy + base] = " ".join(mine)
+    texts |= {7: "", 8: "one two", 9: "ONE  two", 10: "one two three"}
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+    least = plain_components(sets, lambda a, b: a and b and 100 * len(a & b) >= num * len(a | b))
+    found = ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size, num, 100)
+    assert by_row(found) == sorted(((i, len(sets[i]), least[i]) for i in texts), key=repr)
+
+
+def test_jaccard_of_odd_rows(docs, none):
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert {(1, 2, 1), (2, 2, 1), (None, 2, 1), (3, 0, 3), (4, 0, 4), (7, 0, 7), (5, 1, 5), (6, 1, 6), (None, 0, None)} <= found
+    assert ngram_join.jaccard_components(none).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (9, 9), (None, 3)], "a long, b long")
+    found = {r["id"]: r["component"] for r in components.components(links).collect()}
+    assert found == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+    assert components.components(links.limit(0)).count() == 0
+
+
+def test_language_model_against_plain_counts(spark, docs, none):
+    rows = docs.withColumn("train", F.col("lang") == "en")
+    found = ngram_lm.score_texts(rows, prior=50.0).collect()
+    texts = [(r[0], (r[1] or "").encode().lower().split() + [None], r[2] == "en") for r in ROWS]
+    c = Counter(w for _, t, train in texts if train for w in t)
+    pairs = Counter(p for _, t, train in texts if train for p in zip([0, *t[:-1]], t, strict=True))
+    starts, n = sum(train for *_, train in texts), sum(c.values())
+    z = n + 0.1 * (len(c) + 1)
+    want = []
+    for doc, t, train in texts:
+        base = sum(math.log10((c[w] + 0.1) / z) for w in t)
+        score = sum(math.log10((pairs[u, w] + 50 * (c[w] + 0.1) / z) / ((starts if u == 0 else c[u]) + 50)) for u, w in zip([0, *t[:-1]], t, strict=True))
+        want.append((doc, train, len(t), sum(c[w] > 0 for w in t), n, base, score))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted(map(tuple, found), key=key), sorted(want, key=key), strict=True):
+        assert tuple(a[1:5]) == tuple(b[1:5]) and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3)
+    assert ngram_lm.score_texts(none).count() == 0
+    assert ngram_lm.score_texts(docs.withColumn("train", F.lit(None).cast("boolean"))).where("n_known = 0 and train_tokens = 0").count() == len(ROWS)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1 << 20), max_size=200), st.integers(0, 30))
+def test_elias_fano(numbers, extra):
+    values = np.sort(np.array(numbers, np.uint64))
+    universe = (1 << 20) + (1 << extra)
+    bits, found = ngram_lm.EliasFano.arrays(values, universe)
+    ef = ngram_lm.EliasFano(len(values), bits, found["low"], found["high"], found["zeros"])
+    assert ef.select(np.arange(len(values))).tolist() == values.tolist()
+    asked = np.concatenate((values, np.arange(0, 1 << 20, 99_991, dtype=np.uint64)))
+    at, hit = ef.successor(asked)
+    assert at.tolist() == np.searchsorted(values, asked).tolist() and hit.tolist() == np.isin(asked, values).tolist()
+
+
+def test_trie_in_a_mapped_file(tmp_path):
+    words = np.array([5, 70_000, 70_001, 1 << 60], np.uint64)
+    trie = ngram_lm.Trie(words, np.array([2, 0, 1, 1]), np.array([3, 9, 3, 4], np.uint64), np.array([-1.0, -2, -3, -4]), np.array([-0.5, -0.25, -1.5, -2.5]), str(tmp_path / "trie"))
+    at, hit = trie.find_words(np.array([70_001, 6, 1 << 60, 5], np.uint64))
+    assert hit.tolist() == [True, False, True, True] and at[hit].tolist() == [2, 3, 0]
+    at, hit = trie.find_pairs(np.array([0, 0, 1, 2, 3]), np.array([9, 4, 3, 3, 3], np.uint64))
+    assert hit.tolist() == [True, False, False, True, False] and trie.value("pair", at[hit]).tolist() == pytest.approx([-0.25, -1.5], abs=1e-3)
+    assert (tmp_path / "trie").stat().st_size > 0
+
+
+VECTORS = [(1, [1.0, 0, 0]), (2, [2.0, 0.1, 0]), (3, [1.0, 0, 0]), (3, [1.0, 0, 0]), (4, [0.0, 1, 0]), (5, [0.0, 0, 0]), (6, None), (7, [1.0, None, 0]), (8, [float("nan"), 1, 1]), (9, [float("inf"), 1, 1]), (10, [1.0, 0]), (None, [1.0, 0, 0]), (11, [1e-200, 1e-200, 0]), (12, [1e200, 1.01e200, 0])]
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v]) for i, v in VECTORS], "vec_id long, embedding array<double>").withColumn("weight", F.lit("x")).withColumn("cell", F.lit(1))
+    found = by_row(vector_dedup.near_groups(df))
+    alone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)] + [(None, 0, None, True)]
+    assert found == sorted(alone + [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (11, 1, 11, True), (12, 1, 11, False)], key=repr)
+    assert vector_dedup.near_groups(df.limit(0)).count() == 0 and vector_dedup.near_groups(df.where("vec_id = 5")).count() == 1
+    near = neighbours.search(df, df.where("vec_id in (1, 5)"), 3)
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in near.orderBy("rank").collect()] == [(1, 1, 3), (1, 2, 2), (1, 3, 11)]
+    assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def clustered(spark, n=6000):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 16))
+    x[: n // 4] = x[0] + 0.05 * rng.standard_normal((n // 4, 16))  # one large group
+    return x, spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+
+def test_vectors_against_brute_force(spark, monkeypatch):
+    x, df = clustered(spark)
+    monkeypatch.setattr(vector_dedup, "ROWS", 512)  # several cells
+    near = cells.unit(x)
+    links = near @ near.T >= 0.95
+    np.fill_diagonal(links, False)
+    root = vector_dedup.local_roots(*np.nonzero(links), len(x))
+    found = vector_dedup.near_groups(df).toPandas().sort_values("vec_id")
+    assert found.n_links.tolist() == links.sum(axis=1).tolist() and found.component_id.tolist() == root.tolist()
+    result = neighbours.search(df, df.where("vec_id % 50 = 0"), 5).toPandas()
+    hits = 0
+    for q, g in result.groupby("query_id"):
+        others = near @ near[q]
+        others[q] = -2
+        hits += len(set(np.lexsort((np.arange(len(x)), -others))[:5]) & set(g.vec_id))
+        assert g.sort_values("rank").score.is_monotonic_decreasing and len(g) == 5
+    assert hits >= 0.9 * len(result)
+
+
+def test_language(spark, docs, none, data):
+    real = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(real, documents=60)
+    again = language.fit(real.repartition(7), documents=60)
+    assert all((a == b).all() for a, b in zip(model.parameters(), again.parameters(), strict=True))
+    judged = language.predict(real, model).toPandas()
+    assert (judged.lang == judged.lang_pred).mean() > 0.9
+    odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()}
+    assert odd[3] == odd[4] == odd[7] == ("und", 0.0) and odd[6][0] != "und" and 0 < odd[5][1] <= 1
+    assert language.predict(none, model).count() == 0 and language.fit(none) is None and language.predict(docs, None).where("lang_pred = 'und'").count() == len(ROWS)
+    kept = language.keep_known(real)
+    assert kept.columns == real.columns and kept.count() > 0.97 * real.count()
+
+
+def test_backpropagation():
+    rng = np.random.default_rng(0)
+    net = language.Tagger(["a", "b"], language.Direction.new(rng, 3), language.Direction.new(rng, 3), rng.standard_normal((6, 2)).astype(np.float32), np.zeros(2, np.float32))
+    for p in net.parameters():
+        p *= 0.5
+    steps = rng.integers(1, 5, (6, 4)).astype(np.uint8)
+    real, target = np.ones((6, 4), np.float32), np.array([0, 1, 1, 0])
+    _, gradients = net.gradients(steps, real, target)
+    for p, g in zip(net.parameters(), gradients, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, ends = p[at], []
+        for e in (1e-2, -1e-2):
+            p[at] = kept + e
+            ends.append(net.gradients(steps, real, target)[0])
+        p[at] = kept
+        assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(g[at], rel=0.03, abs=1e-4)
+
+
+def test_quality(spark, docs, none, data):
+    real, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    odd_labels = labels.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (10**9, 0, 0)], labels.schema))
+    model = quality.fit(real, odd_labels)
+    again = quality.fit(real.repartition(5), odd_labels)
+    assert (model.vectors == again.vectors).all() and model.scorer.temperature == again.scorer.temperature
+    judged = quality.score(real, model).join(labels, "doc_id").toPandas()
+    assert (judged.quality == judged.predicted).mean() > 0.95
+    found = quality.score(docs, model).toPandas()
+    assert found.score.between(0, 1).all() and len(found) == len(ROWS) and (found.predicted == (found.score >= 0.7)).all()
+    assert quality.score(none, model).count() == 0
+    assert quality.fit(docs, labels.limit(0)).prior == 0.5 and quality.fit(none, labels.where("quality = 1")).prior == 1.0
+    kept = quality.keep_good(real, labels)
+    assert kept.columns == real.columns and kept.count() > 0.7 * real.count()
+
+
+def test_chat(spark):
+    calls = [("c", "a", 1, "add", '{"x": 1, "y": 2.5}', []), ("c", "b", 2, "add", '{"y":1}', ["a"]), ("c", "d", 3, "add", '{"x":"1","z":[]}', ["b", "a", None, "zz"]), ("c", "e", 4, "no", "{}", ["f"]), ("c", "f", 5, "add", "broken", ["e"]), ("c", "g", 6, None, None, None), ("c", "a", 9, "late", "{}", []), (None, "a", 1, "add", "[]", []), ("c", None, 1, "add", "{}", ["a"])]
+    results = [("c", "a", 2, "é\n"), ("c", "a", 3, "other"), ("c", "q", 7, "orphan"), (None, "a", 1, "x"), ("c", "b", None, None)]
+    schemas = spark.sql("select 'add' name, array(named_struct('name','x','type','integer','required',true), named_struct('name','y','type','number','required',false)) parameters")
+    calls = spark.createDataFrame(calls, "conv string, id string, turn long, name string, arguments string, depends array<string>").withColumn("level", F.lit(1))
+    results = spark.createDataFrame(results, "conv string, id string, turn long, content string")
+    rows = chat.link_tools(calls, results, schemas).collect()
+    found = {r["id"]: r for r in rows if r["conv"] == "c" and r["id"]}
+    assert [found[i]["level"] for i in "abdefgq"] == [0, 1, 2, None, None, 0, None]
+    assert [found[i]["problems"] for i in "abdefgq"] == [[], ["missing:x"], ["type:x", "unknown:z"], ["no tool"], ["not an object"], ["no tool"], ["no call"]]
+    assert [found[i]["n_results"] for i in "abdefgq"] == [2, 1, 0, 0, 0, 0, 1] and len(rows) == 10
+    assert found["a"]["json"] == '{"arguments":{"x":1,"y":2.5},"depends":[],"id":"a","level":0,"name":"add","result":"é\\n"}'
+    assert all(list(json.loads(r["json"])) == sorted(json.loads(r["json"])) for r in rows)
+    assert chat.link_tools(calls.limit(0), results.limit(0), schemas).count() == 0
+    chain = spark.range(300).selectExpr("'c' conv", "cast(id as string) id", "array(cast(id - 1 as string), cast(id - 3 as string)) depends")
+    assert chat.levels(chain).where("level = cast(id as long)").count() == 300
