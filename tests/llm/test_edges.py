@@ -210,7 +210,7 @@ def test_language_model_against_plain_counts(spark, docs, none):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     for a, b in zip(sorted(map(tuple, found), key=key), sorted(want, key=key), strict=True):
         assert tuple(a[1:5]) == tuple(b[1:5]) and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3)
-    assert ngram_lm.score_texts(none).count() == 0
+    assert ngram_lm.score_texts(none.withColumn("train", F.lit(True))).count() == 0
     assert ngram_lm.score_texts(docs.withColumn("train", F.lit(None).cast("boolean"))).where("n_known = 0 and train_tokens = 0").count() == len(ROWS)
 
 
