@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word n-grams: rare-first prefix filtering, with length, positional and suffix filters.
 
 1. Each text becomes the set of hashes of its n-grams. Texts with equal sets are one class, known by a signature of the set.
-2. The sets go through one packed shuffle by ranges of the hashes. There every n-gram's number of classes is counted, and
+2. The sets go through one packed shuffle by ranges of the hashes (by class too for n-grams that very many classes have). There every n-gram's number of classes is counted, and
    n-grams of a single class are dropped: they can't be shared. The others return to their classes with their counts,
    which is the global order, rarest first. A class whose prefix holds only n-grams of its own has no partner and ends here.
 3. Classes meet on the n-grams of their prefixes. In a few rounds each class is held against one class for each n-gram,
@@ -26,6 +26,10 @@ from harrow.llm.components import components
 #: Postings that a task packs together.
 PACKED = 3_000_000
 TOKEN_BITS = 48
+#: An n-gram that so many classes of one pack have is heavy: its postings are dealt out by class as well, and it comes last in the global order.
+HEAVY = 256
+#: The count that stands for heavy n-grams, and the size of the class that stands in a pack's ordinary postings for all of a heavy n-gram's.
+MOST, MARK = 65_535, 0xFFFFFFFF
 #: Bits of the parity filter, and the columns that hold them.
 BITS = 256
 WORDS = [f"bits{i}" for i in range(BITS // 64)]
@@ -69,23 +73,18 @@ def document_sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _packed(shard: list[int], blobs: list[list[bytes]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["shard", *names])
-
-
 def postings(docs: DataFrame, size: int, ranges: int, text_col: str = "text") -> DataFrame:
     """Packed postings (n-gram, class) by range of the n-gram: low and high parts of n-grams, index of each one's class, signatures and sizes of the classes.
 
-    Equal sets of one task are packed once, so that a large group of copies does not pile up.
+    Equal sets of one task are packed once, so that a large group of copies does not pile up. Postings of heavy n-grams go to
+    ranges of a hash of n-gram and class instead, so that a passage of many documents does not pile up either; the n-gram's own
+    range gets one posting of the class MARK.
     """
+    borders = np.array([(r << TOKEN_BITS) // ranges for r in range(1, ranges)], np.uint64)
 
-    def pack(sets: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
-        token = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
-        index = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-        order = np.argsort(token, kind="stable")
-        token, index = token[order], index[order]
-        edges = np.searchsorted(token, np.array([(r << TOKEN_BITS) // ranges for r in range(1, ranges)], np.uint64))
-        sig, n = np.array(sigs, np.int64), np.array([len(s) for s in sets], np.uint32)
+    def dealt(token: np.ndarray, index: np.ndarray, place: np.ndarray, sig: np.ndarray, n: np.ndarray, heavy: bool) -> pa.RecordBatch:
+        order = np.argsort(place, kind="stable")
+        token, index, edges = token[order], index[order], np.searchsorted(place[order], borders)
         shard, blobs = [], [[], [], [], [], []]
         for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(token)], strict=True)):
             if a < b:
@@ -94,7 +93,22 @@ def postings(docs: DataFrame, size: int, ranges: int, text_col: str = "text") ->
                 low, high = (token[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), (token[a:b] >> np.uint64(32)).astype("<u2")
                 for blob, x in zip(blobs, (low, high, local.astype("<u2"), sig[used], n[used]), strict=True):
                     blob.append(x.tobytes())
-        return _packed(shard, blobs, ["low", "high", "local", "sig", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([heavy] * len(shard), pa.bool_()), *(pa.array(b, pa.binary()) for b in blobs)], ["shard", "heavy", "low", "high", "local", "sig", "n"])
+
+    def pack(sets: list[np.ndarray], sigs: list[int]) -> Iterator[pa.RecordBatch]:
+        token = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
+        index = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        token, index = token[order], index[order]
+        sig, n = np.array([*sigs, 0], np.int64), np.array([*map(len, sets), MARK], np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        counts = np.diff(np.concatenate((first, [len(token)])))
+        heavy, marks = np.repeat(counts >= HEAVY, counts), token[first[counts >= HEAVY]]
+        light = np.concatenate((token[~heavy], marks))
+        yield dealt(light, np.concatenate((index[~heavy], np.full(len(marks), len(sets), np.uint16))), light, sig, n, False)
+        if len(marks):
+            token, index = token[heavy], index[heavy]
+            yield dealt(token, index, mix(token ^ mix(sig[index].view(np.uint64))) >> np.uint64(64 - TOKEN_BITS), sig, n, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, sigs, held, seen = [], [], 0, set()
@@ -110,18 +124,19 @@ def postings(docs: DataFrame, size: int, ranges: int, text_col: str = "text") ->
                     sigs.append(sig)
                     held += len(grams)
                     if held >= PACKED or len(sets) == 65_535:
-                        yield pack(sets, sigs)
+                        yield from pack(sets, sigs)
                         sets, sigs, held = [], [], 0
         if sets:
-            yield pack(sets, sigs)
+            yield from pack(sets, sigs)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, low binary, high binary, local binary, sig binary, n binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, heavy boolean, low binary, high binary, local binary, sig binary, n binary")
 
 
 def shared_grams(packed: DataFrame, ranges: int) -> DataFrame:
     """The n-grams that two or more classes have, returned to their classes: packed keys by range of the signature.
 
-    A key is the number of classes (at most 65535) above the n-gram's 48 bits, so the order of keys is rarest first.
+    A key is the number of classes (MOST for n-grams that are heavy anywhere) above the n-gram's 48 bits, so the order of keys is
+    rarest first. A class may get a heavy n-gram's key twice, by way of the n-gram's own range too.
     """
 
     def back(sig: np.ndarray, n: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -137,35 +152,41 @@ def shared_grams(packed: DataFrame, ranges: int) -> DataFrame:
             shard.append(r)
             for blob, x in zip(blobs, (sig[first[a:b]], n[first[a:b]], counts[a:b], key[lo:hi]), strict=True):
                 blob.append(x.tobytes())
-        return _packed(shard, blobs, ["sig", "n", "counts", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["shard", "sig", "n", "counts", "keys"])
+
+    def distinct(token: np.ndarray, sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((n, sig, token))
+        token, sig, n = token[order], sig[order], n[order]
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])))[: len(token)]
+        return token[new], sig[new], n[new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sigs, sizes = [], [], []
+        held = {False: ([], [], []), True: ([], [], [])}
         for batch in batches:
-            for low, high, local, sig, n in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for heavy, low, high, local, sig, n in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 at = np.frombuffer(local, "<u2")
+                tokens, sigs, sizes = held[heavy]
                 tokens.append(np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32))
                 sigs.append(np.frombuffer(sig, np.int64)[at])
                 sizes.append(np.frombuffer(n, np.uint32)[at])
-        if not tokens:
+        if held[True][0]:
+            token, sig, n = distinct(*map(np.concatenate, held.pop(True)))
+            yield back(sig, n, np.uint64(MOST << TOKEN_BITS) | token)
+        if not held[False][0]:
             return
-        token, sig, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
-        del tokens, sigs, sizes
+        token, sig, n = map(np.concatenate, held.pop(False))
         order = np.argsort(token, kind="stable")
         ordered = token[order]
         same = ordered[1:] == ordered[:-1]
         order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        token, sig, n = token[order], sig[order], n[order]
-        order = np.lexsort((n, sig, token))
-        token, sig, n = token[order], sig[order], n[order]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])))[: len(token)]
-        token, sig, n = token[new], sig[new], n[new]
+        token, sig, n = distinct(token[order], sig[order], n[order])
         _, where, count = np.unique(token, return_inverse=True, return_counts=True)
+        count = np.minimum(count, MOST - 1)
+        count[where[n == MARK]] = MOST
         count = count[where]
-        several = count > 1
+        several = (count > 1) & (n != MARK)
         if several.any():
-            key = np.minimum(count[several], 65535).astype(np.uint64) << np.uint64(TOKEN_BITS) | token[several]
-            yield back(sig[several], n[several], key)
+            yield back(sig[several], n[several], count[several].astype(np.uint64) << np.uint64(TOKEN_BITS) | token[several])
 
     return packed.repartitionById(ranges, F.col("shard")).mapInArrow(run, "shard int, sig binary, n binary, counts binary, keys binary")
 
@@ -186,6 +207,8 @@ def candidates(shared: DataFrame, ranges: int, num: int, den: int) -> DataFrame:
         sig, n, key = np.concatenate(sigs), np.concatenate(sizes).astype(np.int64), np.concatenate(keys)
         order = np.lexsort((key, n, sig))
         sig, n, key = sig[order], n[order], key[order]
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1])))
+        sig, n, key = sig[new], n[new], key[new]
         first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (n[1:] != n[:-1]))))
         last = np.concatenate((first[1:], [len(sig)]))
         size = n[first]

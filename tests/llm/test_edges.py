@@ -158,8 +158,10 @@ def plain_components(sets, linked):
     return least
 
 
-@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
-def test_jaccard_against_brute_force(spark, size, num):
+@pytest.mark.parametrize("size, num, heavy, packed", [(4, 85, 256, 3_000_000), (5, 80, 256, 3_000_000), (4, 85, 3, 400), (5, 80, 2, 3_000_000)])
+def test_jaccard_against_brute_force(spark, monkeypatch, size, num, heavy, packed):
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "PACKED", packed)
     rng = np.random.default_rng(size)
     texts = {}
     for base in range(6):
