@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import checkpoint
 
+#: Links that one task works on, about 4 MB; so few links don't go through hundreds of tasks in every round.
+SHARE = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for each end of links (a, b); component is the smallest id that can be reached.
@@ -14,17 +17,22 @@ def components(links: DataFrame) -> DataFrame:
     In each round every node hooks on to the smallest of itself and its neighbours, and hooks are followed to their ends, in
     as many joins as the logarithm of the longest chain. Links are then carried over to these ends, and those that became
     loops go; only nodes without a smaller neighbour are left. Nulls in links are left out; repeated links and loops do no
-    harm; without links there are no rows.
+    harm; without links there are no rows. One task works on SHARE links, so up to SHARE of them need no shuffle.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = checkpoint(links.distinct())
-    labels = None
+    tasks = max(1, -(-links.count() // SHARE))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return checkpoint(df).coalesce(tasks)
+
+    links, labels = links.coalesce(tasks), None
     while labels is None or not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        step = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        both = links.selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))")
+        step = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
         while True:
             far = step.select(F.col("a").alias("to"), F.col("to").alias("root"))
-            jumped = checkpoint(step.join(far, "to").select("a", "to", "root"))
+            jumped = cut(step.join(far, "to").select("a", "to", "root"))
             step = jumped.select("a", F.col("root").alias("to"))
             if jumped.where("root <> to").isEmpty():
                 break
@@ -32,8 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = step.select(F.col("a").alias("id"), F.col("root").alias("component"))
         else:
-            labels = checkpoint(labels.join(step, F.col("component") == F.col("a"), "left").select("id", F.coalesce("root", "component").alias("component")))
+            labels = cut(labels.join(step, F.col("component") == F.col("a"), "left").select("id", F.coalesce("root", "component").alias("component")))
         moved = links.join(step, "a").select(F.col("root").alias("a"), "b")
         moved = moved.join(step.select(F.col("a").alias("b"), F.col("root").alias("to")), "b").where("a <> to")
-        links = checkpoint(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct())
+        links = cut(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct())
     return labels
