@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import checkpoint
 
-#: Links that one task works on, about 4 MB; so few links don't go through hundreds of tasks in every round.
+#: Links that one task reads from a checkpoint, about 4 MB.
 SHARE = 250_000
 
 
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     In each round every node hooks on to the smallest of itself and its neighbours, and hooks are followed to their ends, in
     as many joins as the logarithm of the longest chain. Links are then carried over to these ends, and those that became
     loops go; only nodes without a smaller neighbour are left. Nulls in links are left out; repeated links and loops do no
-    harm; without links there are no rows. One task works on SHARE links, so up to SHARE of them need no shuffle.
+    harm; without links there are no rows. Checkpoints are read by a task for each SHARE links; joins still shuffle.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = checkpoint(links.distinct())
