@@ -3,7 +3,7 @@
 A worklist of layers starts with the text itself. Each layer is scanned, and every decoding of it that yields text becomes
 a further layer: percent escapes and Unicode escapes in place, base64 runs and the compressed data in them by themselves.
 A layer keeps, for each of its characters, the span of the original text that it came from, so a finding at any depth maps
-back. A layer with the same text from the same place is not worked on twice, which ends cycles; the list is then at a fixpoint.
+back. Bytes that are no text don't spoil the text around them. A layer with the same text from the same place is not worked on twice, which ends cycles; the list is then at a fixpoint.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LONE = re.compile("[\ud800-\udfff]+")
 URL_SAFE = str.maketrans("-_", "+/")
 #: Bytes that one compressed run may unfold to; longer ones are taken as no text, so that a bomb can't fill the memory.
 UNFOLD = 1 << 26
@@ -66,20 +67,28 @@ class Layer:
         return self.start[a:b], self.end[a:b], self.made[a:b]
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def byte_counts(text: str) -> np.ndarray:
+    """Number of bytes that each character of readable()'s result came from; a lone surrogate stands for one bad byte."""
+    codes = code_points(text)
+    size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    size[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return size
+
+
 def percent_characters(run: str) -> list[tuple[str, int]] | None:
-    """Characters of a run of %XX with the number of source characters of each; None if it isn't UTF-8."""
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(run.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+    """Characters of a run of %XX with the number of source characters of each, bad bytes as lone surrogates; None if all are bad."""
+    text = readable(bytes.fromhex(run.replace("%", "")))
+    return None if LONE.fullmatch(text) else list(zip(text, (3 * byte_counts(text)).tolist(), strict=True))
 
 
 def unicode_characters(run: str) -> list[tuple[str, int]] | None:
-    """Characters of a run of \\uXXXX, surrogate pairs joined; None if a surrogate stands alone."""
-    try:
-        return [(c, 6 * (1 + (ord(c) > 0xFFFF))) for c in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")]
-    except UnicodeDecodeError:
-        return None
+    """Characters of a run of \\uXXXX, surrogate pairs joined, lone surrogates as they are; None if all are lone."""
+    text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+    return None if LONE.fullmatch(text) else [(c, 6 * (1 + (ord(c) > 0xFFFF))) for c in text]
 
 
 def in_place(layer: Layer, name: str, pattern: re.Pattern, characters) -> Iterator[Layer]:
@@ -127,16 +136,13 @@ def unfolded(data: bytes) -> bytes | None:
         return None
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def readable(data: bytes) -> str:
+    """data as text; each byte that isn't UTF-8 becomes a lone surrogate, which ends any match."""
+    return data.decode("utf-8", "surrogateescape")
 
 
 def apart(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run that holds text, or compressed data that holds text or further compressed data."""
+    """A layer for each base64 run, or for what the compressed data in it holds."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=").translate(URL_SAFE)
         if len(run) % 4 == 1:
@@ -149,13 +155,13 @@ def apart(layer: Layer) -> Iterator[Layer]:
         while (inner := unfolded(data)) is not None and hash(inner) not in met:  # data that unfolds to itself ends here
             data, name = inner, f"{name}/compressed"
             met.add(hash(data))
-        if (text := readable(data)) is None:
+        if not (text := readable(data)):
             continue
         begin, finish, _ = layer.spans(m.start(), m.end())
         if len(met) > 1:
             start, end = np.full(len(text), begin[0]), np.full(len(text), finish[-1])
         else:
-            size = np.array([len(c.encode()) for c in text])
+            size = byte_counts(text)
             first = np.cumsum(size) - size
             start = begin[first * 8 // 6]
             end = finish[np.minimum(((first + size) * 8 + 5) // 6, len(begin)) - 1]

@@ -140,6 +140,28 @@ def test_plain_secrets():
     assert secrets.secrets_of(bomb) == [] and secrets.secrets_of("%41" * 3 + "\\ud800 %ff %E9") == []
 
 
+ODD = ["\u00a0", "\ufeff", "\u202f", "\f", "\x1b", "\0", "\u00ad"]
+
+
+@pytest.mark.parametrize("data", [*[(o + "é " + SECRET + o).encode() for o in ODD], b"caf\xe9 " + SECRET.encode() + b"\xff"])
+def test_secrets_beside_odd_bytes(data):
+    for wrapped in (base64.b64encode(data).decode(), base64.b64encode(zlib.compress(data)).decode(), urllib.parse.quote(data, safe="")):
+        found = secrets.secrets_of(f"é {wrapped} more")
+        assert [f[2] for f in found] == ["assign"] and "hunter2" not in "".join(str(s) for s in secrets.secrets_of(secrets.redacted(f"é {wrapped} more")))
+    plain = base64.b64encode(data).decode()
+    ((start, end, *_),) = secrets.secrets_of(plain)
+    at = data.index(b"password")
+    assert (start, end) == (at * 8 // 6, -(-(at + len(SECRET) - 1) * 8 // 6))
+
+
+def test_secrets_beside_bad_escapes():
+    percent = urllib.parse.quote(SECRET, safe="")
+    for text in ("%FF" + percent, percent + "%C3%28", "\\ud800" + WRAPPED["unicode"] + "\\udc00"):
+        assert [f[2] for f in secrets.secrets_of(text)] == ["assign"]
+    full = "".join(f"%{b:02X}" for b in b"\xff" + SECRET.encode())
+    assert [(s, e) for s, e, *_ in secrets.secrets_of(full)] == [(3, 3 * len(SECRET))]
+
+
 def test_secrets_of_rows(spark, docs, none):
     assert secrets.find_secrets(docs).where("size(secrets) = 0").count() == len(ROWS) and secrets.find_secrets(none).count() == 0
     assert by_row(secrets.redact_secrets(docs)) == by_row(docs)
