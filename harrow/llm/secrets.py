@@ -1,7 +1,8 @@
 """Secrets in texts, also inside nested encodings.
 
 A worklist of layers starts with the text itself. Each layer is scanned, and every decoding of it that yields text becomes
-a further layer: percent escapes and Unicode escapes in place, base64 runs and the compressed data in them by themselves.
+a further layer: percent escapes and Unicode escapes in place, base64 runs (over line breaks, at each alignment) and the
+compressed data in them by themselves.
 A layer keeps, for each of its characters, the span of the original text that it came from, so a finding at any depth maps
 back. Bytes that are no text don't spoil the text around them. A layer with the same text from the same place is not worked on twice, which ends cycles; the list is then at a fixpoint.
 """
@@ -33,9 +34,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64, over line breaks too; it begins with 16 characters in a row or at the end of a line.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{1,15}[ \t]*[\r\n])[A-Za-z0-9+/_-]++(?:[ \t]*+[\r\n][ \t\r\n]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+#: How compressed data begins.
+HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+LEAST = 16  # characters of a run
+#: What decoded bytes need to hold for a finding or a further layer; most decodings at a wrong alignment hold none of it.
+NEEDED = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]")
 LONE = re.compile("[\ud800-\udfff]+")
-URL_SAFE = str.maketrans("-_", "+/")
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: Bytes that one compressed run may unfold to; longer ones are taken as no text, so that a bomb can't fill the memory.
 UNFOLD = 1 << 26
 LISTED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("layer", T.StringType())]))
@@ -141,31 +148,44 @@ def readable(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
+def aligned(run: bytes) -> Iterator[tuple[int, bytes]]:
+    """What a run of base64 without padding holds when read from each of its first four characters, as (character, bytes).
+
+    What stands before the data, such as the path of a URL, is part of the run; every start further on is one of the four.
+    """
+    for k in range(min(4, len(run))):
+        part = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+        yield k, base64.b64decode(part + b"=" * (-len(part) % 4))
+
+
 def apart(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run, or for what the compressed data in it holds."""
+    """A layer for each base64 run and alignment, or for what the compressed data in it holds."""
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(URL_SAFE)
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+        characters = np.frombuffer(m[0].rstrip("=").encode(), np.uint8)
+        kept = np.flatnonzero(characters > 0x20)
+        if len(kept) < LEAST:
             continue
-        name, met = "base64", {hash(data)}
-        while (inner := unfolded(data)) is not None and hash(inner) not in met:  # data that unfolds to itself ends here
-            data, name = inner, f"{name}/compressed"
-            met.add(hash(data))
-        if not (text := readable(data)):
-            continue
-        begin, finish, _ = layer.spans(m.start(), m.end())
-        if len(met) > 1:
-            start, end = np.full(len(text), begin[0]), np.full(len(text), finish[-1])
-        else:
-            size = byte_counts(text)
-            first = np.cumsum(size) - size
-            start = begin[first * 8 // 6]
-            end = finish[np.minimum(((first + size) * 8 + 5) // 6, len(begin)) - 1]
-        yield Layer(text, f"{layer.path}/{name}", start, end, np.ones(len(text), bool))
+        begins = finishes = None
+        for k, data in aligned(characters[kept].tobytes().translate(URL_SAFE)):
+            inside = [(h.start(), inner) for h in HEADER.finditer(data) if (inner := unfolded(data[h.start() :])) is not None]
+            if not inside and not NEEDED.search(data):
+                continue
+            if begins is None:
+                begins, finishes, _ = layer.spans(m.start(), m.end())
+            begin, finish = begins[kept[k:]], finishes[kept[k:]]
+            if text := readable(data):
+                size = byte_counts(text)
+                first = np.cumsum(size) - size
+                start = begin[first * 8 // 6]
+                end = finish[np.minimum(((first + size) * 8 + 5) // 6, len(begin)) - 1]
+                yield Layer(text, f"{layer.path}/base64", start, end, np.ones(len(text), bool))
+            for at, data in inside:
+                name, met = "base64/compressed", set()
+                while hash(data) not in met and (inner := unfolded(data)) is not None:  # data that unfolds to itself ends here
+                    met.add(hash(data))
+                    data, name = inner, f"{name}/compressed"
+                if text := readable(data):
+                    yield Layer(text, f"{layer.path}/{name}", np.full(len(text), begin[at * 8 // 6]), np.full(len(text), finishes[-1]), np.ones(len(text), bool))
 
 
 def decodings(layer: Layer) -> Iterator[Layer]:

@@ -162,6 +162,32 @@ def test_secrets_beside_bad_escapes():
     assert [(s, e) for s, e, *_ in secrets.secrets_of(full)] == [(3, 3 * len(SECRET))]
 
 
+LINES = ("words before it. " * 5 + SECRET + " and words after it. " * 5).encode()
+NOISE = bytes(np.random.default_rng(3).integers(0, 256, 400, np.uint8))
+
+
+@pytest.mark.parametrize("data", [LINES, gzip.compress(LINES + NOISE, mtime=0), zlib.compress(LINES + NOISE)])
+@pytest.mark.parametrize("shift", range(4))
+@pytest.mark.parametrize("form", ["\n", "\r\n", "\n    ", "/", "-", "+"])
+def test_secrets_in_wrapped_and_touching_base64(data, shift, form):
+    run = base64.b64encode(data).decode()
+    if "\n" in form:
+        for width in (19 + shift, 64, 76):
+            text = "-----BEGIN-----\n" + form.join(run[i : i + width] for i in range(0, len(run), width)) + "\n-----END-----"
+            assert [f[2] for f in secrets.secrets_of(text)] == ["assign"]
+            assert "hunter2" not in "".join(str(s) for s in secrets.secrets_of(secrets.redacted(text)))
+    elif data is LINES:
+        text = f"see https://host.example/d{'x' * shift}{form}{run} for it"
+        ((start, end, kind, layer),) = secrets.secrets_of(text)
+        assert kind == "assign" and base64.b64decode(run[: 4 * (len(run) // 4)]).startswith(LINES[:9]) and text.index(run) < start < end < text.index(" for")
+
+
+def test_secrets_over_a_line_break():
+    text = base64.encodebytes(b"x" * 45 + b" password=hunter2hunter2").decode()
+    ((start, end, kind, _),) = secrets.secrets_of(text)
+    assert kind == "assign" and start == 61 and end == len(text.rstrip().rstrip("="))
+
+
 def test_secrets_of_rows(spark, docs, none):
     assert secrets.find_secrets(docs).where("size(secrets) = 0").count() == len(ROWS) and secrets.find_secrets(none).count() == 0
     assert by_row(secrets.redact_secrets(docs)) == by_row(docs)
