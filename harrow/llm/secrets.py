@@ -1,8 +1,8 @@
 """Secrets in texts, also inside nested encodings.
 
 A worklist of layers starts with the text itself. Each layer is scanned, and every decoding of it that yields text becomes
-a further layer: percent escapes and Unicode escapes in place, base64 runs (over line breaks, at each alignment) and the
-compressed data in them by themselves.
+a further layer: percent escapes and Unicode escapes in place, base64 runs (over line breaks, at each alignment) by themselves.
+Compressed data in these is unfolded and worked on as a stream of pieces, whatever its length.
 A layer keeps, for each of its characters, the span of the original text that it came from, so a finding at any depth maps
 back. Bytes that are no text don't spoil the text around them. A layer with the same text from the same place is not worked on twice, which ends cycles; the list is then at a fixpoint.
 """
@@ -14,6 +14,7 @@ import binascii
 import bz2
 import lzma
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +44,17 @@ LEAST = 16  # characters of a run
 NEEDED = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]")
 LONE = re.compile("[\ud800-\udfff]+")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
-#: Bytes that one compressed run may unfold to; longer ones are taken as no text, so that a bomb can't fill the memory.
-UNFOLD = 1 << 26
+#: Compressed data is unfolded and scanned in pieces of so many bytes that overlap by so many; what is read of it at once, and the longest header.
+PIECE, OVERLAP, SLICE, HEAD = 1 << 20, 1 << 16, 1 << 12, 6
+WINDOW = 1 << 27  # zstd's own bound for what a reader keeps of a frame
+SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18")  # a zstd frame without data
+IN_BYTES = {kind: re.compile(p.pattern.encode(), p.flags & ~re.UNICODE) for kind, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))}
+ZEROS = re.compile(rb"\x00*")
+BLANK = b" \t\r\n"
+ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
+PARTIAL = re.compile(rb"(?:%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3})?)\Z")
+RUN = re.compile(BASE64.pattern.replace("[\\r\\n])", "(?:[\\r\\n]|\\Z))", 1).encode())
+MORE = re.compile(rb"(?:[A-Za-z0-9+/_-]++|[ \t]*+[\r\n][ \t\r\n]*+(?=[A-Za-z0-9+/_-]))*+")
 LISTED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("layer", T.StringType())]))
 
 
@@ -116,31 +126,228 @@ def in_place(layer: Layer, name: str, pattern: re.Pattern, characters) -> Iterat
         yield Layer("".join(pieces), f"{layer.path}/{name}", *(np.concatenate(x) for x in zip(*arrays, strict=True)))
 
 
-def unfolded(data: bytes) -> bytes | None:
-    """What compressed data unfolds to; None if it isn't any, is cut off or is too much."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-            tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            tool = zstandard.ZstdDecompressor(max_window_size=UNFOLD).stream_reader(data)
-            out = tool.read(UNFOLD + 1)
-            return out if len(out) <= UNFOLD else None
-        else:
-            return None
-        out = tool.decompress(data, UNFOLD)
-        return out if tool.eof else None
-    except Exception as error:  # each library has errors of its own for data that only looks compressed
-        if isinstance(error, (MemoryError, ImportError)):
-            raise
-        return None
+def reader(head: bytes):
+    """A decompressor for data that begins with head; None if there is none."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78":
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd" or SKIPPED.match(head):
+        import zstandard
+
+        return zstandard.ZstdDecompressor(max_window_size=WINDOW).decompressobj()
+    return None
+
+
+class Unfolding:
+    """Compressed data that comes piece by piece: its members one after the other, as one stream of bytes.
+
+    What the data gave before it broke or ended counts too. But two bytes, as zlib's header has, are met by chance in other
+    data, and what that seems to unfold to has runs of one character: where it broke in its first member, hex doesn't count.
+    """
+
+    def __init__(self, path: str, found: dict[str, str], met: frozenset[int] = frozenset()):
+        self.all, self.found = found, {}
+        self.out = Stream(path, self.found, met)
+        self.tool, self.held, self.used, self.done, self.doubtful = None, b"", 0, False, False
+
+    def feed(self, data: bytes, last: bool = False, at: int = 0) -> None:
+        """Takes data[at:]; used is then the place in data behind the last member that ended there."""
+        if self.held:
+            data, at, self.held = self.held + data[at:], 0, b""
+        while at < len(data) and not self.done:
+            if self.tool is None:
+                if self.used:
+                    at = ZEROS.match(data, at).end()  # padding between members
+                if len(data) - at < HEAD and not last:
+                    self.held = data[at:]
+                    return
+                head = data[at : at + HEAD]
+                if (HEADER.match(head) or (self.used and SKIPPED.match(head))) is None or (tool := reader(head)) is None:
+                    self.done = True
+                    break
+                self.tool, self.gzip = tool, head[:1] == b"\x1f"
+            at = self.member(data, at)
+        if last or self.done:
+            self.done = True
+            self.out.close()
+            for kind, path in self.found.items():
+                if not (self.doubtful and kind == "hex"):
+                    self.all.setdefault(kind, path)
+
+    def member(self, data: bytes, at: int) -> int:
+        """Reads on in one member; the place in data behind what was read."""
+        tool, zipped = self.tool, hasattr(self.tool, "copy")
+        step = SLICE if zipped else 1  # one byte at a time, what stands before a break is not lost
+        while at < len(data) and not tool.eof:
+            piece, before = data[at : at + step], tool.copy() if zipped and step > 1 else None
+            rest = piece
+            while rest is not None and not tool.eof:
+                try:
+                    got, rest = unfold(tool, rest)
+                except Exception as error:  # each library has errors of its own for data that only looks compressed
+                    if isinstance(error, MemoryError):
+                        raise
+                    if before is None:
+                        self.done, self.doubtful = True, zipped and not self.used and not self.gzip
+                        return len(data)
+                    tool, step = before, 1
+                    break
+                self.out.feed(got)
+            else:
+                at += len(piece)
+            self.tool = tool
+        if tool.eof:
+            at -= len(tool.unused_data)
+            self.used, self.tool = at, None
+        return at
+
+
+def unfold(tool, data: bytes) -> tuple[bytes, bytes | None]:
+    """At most PIECE bytes out of data (a few hundred thousand with zstd), and what is left to read of it; None if nothing."""
+    if hasattr(tool, "copy"):
+        got = tool.decompress(data, PIECE)
+        return got, tool.unconsumed_tail if tool.unconsumed_tail or len(got) == PIECE else None
+    if hasattr(tool, "needs_input"):
+        got = tool.decompress(data, PIECE)
+        return got, None if tool.needs_input else b""
+    return tool.decompress(data), None
+
+
+class Stream:
+    """A layer inside compressed data, worked on in pieces of PIECE bytes that overlap by OVERLAP, at any length of the whole.
+
+    All that is found in it stands at the same place of the original text, so only the first layer with each kind is kept, in
+    found. Its decodings are streams too; both kinds of escapes are decoded at once.
+    """
+
+    def __init__(self, path: str, found: dict[str, str], met: frozenset[int] = frozenset()):
+        self.path, self.found, self.met = path, found, met  # met: compressed data around this, so that what unfolds to itself ends
+        self.wait = bytearray()
+        self.tail = self.partial = self.edge = b""
+        self.inner: Stream | None = None  # with the escapes decoded
+        self.run: list[list] | None = None  # a base64 run that goes on: for each alignment its stream and characters to come
+        self.open: list[Unfolding] = []
+
+    def feed(self, data: bytes) -> None:
+        self.wait += data
+        if len(self.wait) >= PIECE:
+            self.work(False)
+
+    def close(self) -> None:
+        self.work(True)
+
+    def work(self, last: bool) -> None:
+        new = bytes(self.wait)
+        self.wait.clear()
+        for kind in () if len(self.found) == len(KINDS) else kinds_in(self.tail + new):
+            self.found.setdefault(kind, self.path)
+        self.escapes(new, last)
+        self.runs(new, last)
+        self.compressed(new, last)
+        self.tail = (self.tail + new)[-OVERLAP:]
+
+    def escapes(self, new: bytes, last: bool) -> None:
+        before, text, self.partial = self.tail[: len(self.tail) - len(self.partial)], self.partial + new, b""
+        if not last and (m := PARTIAL.search(text, max(0, len(text) - 6))):
+            text, self.partial = text[: m.start()], m[0]
+        if self.inner is None and (m := ESCAPE.search(text)):
+            self.inner = Stream(f"{self.path}/{'percent' if m[0][:1] == b'%' else 'unicode'}", self.found, self.met)
+            self.inner.feed(before)
+        if self.inner is not None:
+            self.inner.feed(ESCAPE.sub(lambda m: bytes([int(m[1], 16)]) if m[1] else chr(int(m[2], 16)).encode("utf-8", "surrogatepass"), text))
+            if last:
+                self.inner.close()
+
+    def runs(self, new: bytes, last: bool) -> None:
+        data, self.edge, at = self.edge + new, b"", 0
+        end = len(data) if last else len(data.rstrip(BLANK))
+        blank = (b"\n" if {*data[end:]} & {10, 13} else b" ") if end < len(data) else b""
+        if self.run is not None:
+            at = MORE.match(data).end()
+            going = at >= end and not last
+            self.read(data[:at], not going)
+            if going:
+                self.edge = blank
+                return
+        for m in RUN.finditer(data, at):
+            if m.end() >= end and not last:
+                if len(m[0]) < OVERLAP:
+                    self.edge = m[0] + blank
+                else:
+                    self.edge = blank
+                    self.read(m[0], False)
+            else:
+                self.read(m[0], True)
+
+    def read(self, run: bytes, ended: bool) -> None:
+        """Reads on in a run of base64, as each alignment has it."""
+        run = run.translate(URL_SAFE, BLANK + b"=")
+        if self.run is None:
+            if ended:
+                for _, data in aligned(run) if len(run) >= LEAST else ():
+                    if NEEDED.search(data) or HEADER.search(data):
+                        child = Stream(f"{self.path}/base64", self.found, self.met)
+                        child.feed(data)
+                        child.close()
+                return
+            self.run = [[Stream(f"{self.path}/base64", self.found, self.met), b"", k] for k in range(4)]
+        for state in self.run:
+            child, rest, skip = state
+            text = rest + run[skip:]
+            whole = len(text) - len(text) % 4
+            child.feed(base64.b64decode(text[:whole]))
+            state[1:] = text[whole:], 0
+            if ended:
+                if len(state[1]) > 1:
+                    child.feed(base64.b64decode(state[1] + b"=" * (4 - len(state[1]))))
+                child.close()
+        if ended:
+            self.run = None
+
+    def compressed(self, new: bytes, last: bool) -> None:
+        for x in self.open:
+            x.feed(new, last)
+        self.open = [x for x in self.open if not x.done]
+        held = self.tail[len(self.tail) - HEAD + 1 :] if len(self.tail) >= HEAD else self.tail
+        data, at = held + new, 0
+        for m in HEADER.finditer(data):
+            if m.start() < at or m.end() <= len(held):
+                continue
+            mark = hash(data[m.start() :]) if last else 0
+            if mark in self.met:
+                continue
+            x = Unfolding(f"{self.path}/compressed", self.found, self.met | {mark} if last else self.met)
+            x.feed(data, last, m.start())
+            if not x.done:
+                self.open.append(x)
+            at = x.used
+
+
+def kinds_in(data: bytes) -> Iterator[str]:
+    if (b":" in data or b"=" in data) and any(len(m[1]) >= 8 for m in IN_BYTES["assign"].finditer(data)):
+        yield "assign"
+    if b"AKIA" in data and IN_BYTES["access"].search(data):
+        yield "access"
+    if IN_BYTES["hex"].search(data):
+        yield "hex"
+
+
+def unfolded(data: bytes, path: str) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """The compressed data in data: where it begins and ends, and the kinds of secrets in it with the first layer of each."""
+    end = 0
+    for m in HEADER.finditer(data):
+        if m.start() >= end:
+            found: dict[str, str] = {}
+            x = Unfolding(path, found)
+            x.feed(data, True, m.start())
+            end = x.used
+            if found:
+                yield m.start(), end if end and x.tool is None else len(data), found
 
 
 def readable(data: bytes) -> str:
@@ -158,8 +365,8 @@ def aligned(run: bytes) -> Iterator[tuple[int, bytes]]:
         yield k, base64.b64decode(part + b"=" * (-len(part) % 4))
 
 
-def apart(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run and alignment, or for what the compressed data in it holds."""
+def apart(layer: Layer, found: dict) -> Iterator[Layer]:
+    """A layer for each base64 run and alignment; what the compressed data in them holds goes to found."""
     for m in BASE64.finditer(layer.text):
         characters = np.frombuffer(m[0].rstrip("=").encode(), np.uint8)
         kept = np.flatnonzero(characters > 0x20)
@@ -167,7 +374,7 @@ def apart(layer: Layer) -> Iterator[Layer]:
             continue
         begins = finishes = None
         for k, data in aligned(characters[kept].tobytes().translate(URL_SAFE)):
-            inside = [(h.start(), inner) for h in HEADER.finditer(data) if (inner := unfolded(data[h.start() :])) is not None]
+            inside = list(unfolded(data, f"{layer.path}/base64/compressed"))
             if not inside and not NEEDED.search(data):
                 continue
             if begins is None:
@@ -179,29 +386,27 @@ def apart(layer: Layer) -> Iterator[Layer]:
                 start = begin[first * 8 // 6]
                 end = finish[np.minimum(((first + size) * 8 + 5) // 6, len(begin)) - 1]
                 yield Layer(text, f"{layer.path}/base64", start, end, np.ones(len(text), bool))
-            for at, data in inside:
-                name, met = "base64/compressed", set()
-                while hash(data) not in met and (inner := unfolded(data)) is not None:  # data that unfolds to itself ends here
-                    met.add(hash(data))
-                    data, name = inner, f"{name}/compressed"
-                if text := readable(data):
-                    yield Layer(text, f"{layer.path}/{name}", np.full(len(text), begin[at * 8 // 6]), np.full(len(text), finishes[-1]), np.ones(len(text), bool))
+            for at, stop, kinds in inside:
+                last = finishes[-1] if stop == len(data) else finish[(stop * 8 + 5) // 6 - 1]
+                for kind, path in kinds.items():
+                    found.setdefault((int(begin[at * 8 // 6]), int(last), kind), path)
 
 
-def decodings(layer: Layer) -> Iterator[Layer]:
+def decodings(layer: Layer, found: dict) -> Iterator[Layer]:
     if "%" in layer.text:
         yield from in_place(layer, "percent", PERCENT, percent_characters)
     if "\\u" in layer.text:
         yield from in_place(layer, "unicode", UNICODE, unicode_characters)
-    yield from apart(layer)
+    yield from apart(layer, found)
 
 
 def secrets_of(text: str) -> list[tuple[int, int, str, str]]:
     """All findings as (start, end, kind, layer) in the text's own code points; layer is empty for those of the text itself."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # streams within streams
     found = {(s, e, kind): "" for s, e, kind in scan(text)}
     work, seen = [Layer(text, "")], {(hash(text), len(text), 0, len(text))}
     while work:
-        for layer in decodings(work.pop()):
+        for layer in decodings(work.pop(), found):
             mark = (hash(layer.text), len(layer.text), int(layer.start[0]) if len(layer.start) else 0, int(layer.end[-1]) if len(layer.end) else 0)
             if mark in seen:
                 continue

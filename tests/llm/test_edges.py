@@ -1,8 +1,10 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
 import base64
+import bz2
 import gzip
 import json
+import lzma
 import math
 import urllib.parse
 import zlib
@@ -188,6 +190,51 @@ def test_secrets_over_a_line_break():
     assert kind == "assign" and start == 61 and end == len(text.rstrip().rstrip("="))
 
 
+def zstd(data):
+    return pytest.importorskip("zstandard").ZstdCompressor().compress(data)
+
+
+PACKERS = {"gzip": lambda d: gzip.compress(d, mtime=0), "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstd}
+
+
+def kinds_of(data):
+    return sorted({f[2] for f in secrets.secrets_of(f"é {base64.b64encode(data).decode()} more")})
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_secrets_in_long_joined_and_cut_data(name):
+    pack = PACKERS[name]
+    assert kinds_of(pack(LINES + bytes(65 << 20) + b"f" * 32)) == ["assign", "hex"]
+    if name != "zlib":
+        assert kinds_of(pack(b"one ") + pack(SECRET[:9].encode()) + pack(SECRET[9:].encode()) + b"junk") == ["assign"]
+    ((start, end, *_),) = secrets.secrets_of(base64.b64encode(pack(LINES) + b"junk" * 9).decode())
+    assert start == 0 and end == -(-len(pack(LINES)) * 8 // 6)
+    cut = pack(LINES + np.random.default_rng(4).bytes(3600))
+    assert name == "bz2" or name == "zstd" or kinds_of(cut[:-999]) == kinds_of(cut[:-999] + b"\xff" * 99) == ["assign"]
+    long = pack(LINES + NOISE + np.random.default_rng(4).bytes(2_000_000))
+    assert kinds_of(long[:-9]) == ["assign"]
+
+
+@pytest.mark.parametrize("piece", [64, 100, 1 << 20])
+def test_secrets_over_the_borders_of_pieces(monkeypatch, piece):
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    monkeypatch.setattr(secrets, "OVERLAP", min(4 * piece, 1 << 16))
+    inner = gzip.compress(LINES + np.random.default_rng(4).bytes(3000), mtime=0)
+    percent = "".join(f"%{c:02x}" for c in SECRET.encode()).encode()
+    for shift in range(0, 130, 7):
+        front = b"#" * shift + b"some words, "
+        for data in (SECRET.encode(), percent, WRAPPED["unicode"].encode(), urllib.parse.quote(percent).encode(), WRAPPED["base64"].encode(), base64.encodebytes(LINES), inner, zlib.compress(inner), base64.b64encode(inner), base64.encodebytes(inner), urllib.parse.quote(base64.b64encode(inner)).encode()):
+            assert kinds_of(zlib.compress(front + data + b" " + front)) == ["assign"]
+        assert kinds_of(zlib.compress(front * 50)) == []
+
+
+def test_secrets_in_many_layers():
+    data = LINES
+    for _ in range(300):
+        data = zlib.compress(data, 0)
+    assert kinds_of(data) == ["assign"]
+
+
 def test_secrets_of_rows(spark, docs, none):
     assert secrets.find_secrets(docs).where("size(secrets) = 0").count() == len(ROWS) and secrets.find_secrets(none).count() == 0
     assert by_row(secrets.redact_secrets(docs)) == by_row(docs)
