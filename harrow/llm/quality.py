@@ -1,7 +1,8 @@
 """Quality of texts: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
 Every word has a fixed sparse index vector. A word's context vector is the sum of the index vectors of its neighbours over
-the whole corpus; words meet in a table of fixed size by their hash. A document's features are the mean and spread of
+the whole corpus; words meet in a table of fixed size by their hash, so words that share a row share a vector, more of them
+the larger the corpus (the README has the measured loss). A document's features are the mean and spread of
 its words' context vectors. A network on top is trained in numpy and its temperature fitted on rows kept aside.
 """
 
@@ -42,7 +43,10 @@ def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the words of texts, and for each text where its words begin (and the total at the end)."""
     hashes, begins = tokens_of(texts, CLASSES)
     rows = (hashes >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
-    rows[1:][hashes[1:] == hashes[:-1]] = REPEATED
+    same = hashes[1:] == hashes[:-1]
+    inner = begins[1:-1]
+    same[inner[(inner > 0) & (inner < len(rows))] - 1] = False  # not over the border of two texts
+    rows[1:][same] = REPEATED
     return rows, begins
 
 

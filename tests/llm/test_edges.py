@@ -422,6 +422,14 @@ def test_quality(spark, docs, none, data):
     assert kept.columns == real.columns and kept.count() > 0.7 * real.count()
 
 
+def test_words_repeat_within_a_text_only():
+    texts = [b"", b"a b", b"b b", b"", b"b", b"b"]
+    rows, begins = quality.word_rows(texts)
+    alone = [quality.word_rows([t])[0].tolist() for t in texts]
+    assert [rows[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == alone
+    assert alone[2][1] == quality.REPEATED != alone[2][0]
+
+
 def test_chat(spark):
     calls = [("c", "a", 1, "add", '{"x": 1, "y": 2.5}', []), ("c", "b", 2, "add", '{"y":1}', ["a"]), ("c", "d", 3, "add", '{"x":"1","z":[]}', ["b", "a", None, "zz"]), ("c", "e", 4, "no", "{}", ["f"]), ("c", "f", 5, "add", "broken", ["e"]), ("c", "g", 6, None, None, None), ("c", "a", 9, "late", "{}", []), (None, "a", 1, "add", "[]", []), ("c", None, 1, "add", "{}", ["a"])]
     results = [("c", "a", 2, "é\n"), ("c", "a", 3, "other"), ("c", "q", 7, "orphan"), (None, "a", 1, "x"), ("c", "b", None, None)]
