@@ -301,7 +301,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str = "text") -> DataFrame:
-    """(sig, component) of all classes of texts with a link to another class; component is the smallest signature."""
+    """(sig, component) of all classes of texts with a link to another class; component is the smallest signature.
+
+    Only components are made: two classes that are in one part by way of others are not compared, so links isn't the list of all links.
+    """
     ranges = shards(docs.sparkSession)
     classes = checkpoint(candidates(shared_grams(postings(docs, size, ranges, text_col), ranges), ranges, num, den))
     rows = _mixed(prefixes(classes, num, den).withColumn("part", F.col("sig")))
