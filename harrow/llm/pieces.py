@@ -1,8 +1,8 @@
-"""SentencePiece encoding and decoding as shortest paths in weighted transducers over the tropical semiring.
+"""SentencePiece encoding and decoding as shortest paths through the lattice of the pieces over a text's positions.
 
-Three transducers are compiled from a model file: the normaliser (identity rules: blanks become U+2581, with one more in
-front), the pieces (an arc for each piece, weighted), and the byte fallback (a character that is no piece goes to its
-UTF-8 bytes). Their composition with an input is a lattice over the input's positions, and the ids are those of its shortest path.
+The lattice is what the composition of three weighted transducers over the tropical semiring with an input would be, but
+none is built: the normaliser (identity rules: blanks become U+2581, with one more in front) is a replacement in the
+text, the pieces are a dict, and a character that is no piece goes to its UTF-8 bytes after the path is chosen.
 
 Weights of a unigram model are its negated log-probabilities. A model of byte-pair encoding is not a sum of weights: its
 segmentation is the only one in which every two neighbouring pieces are also what the merges make of the two alone. So an arc weighs
