@@ -217,13 +217,28 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "text"), model)
 
 
-#: Documents that the pipeline keeps have at least this mean probability of their language.
-LEAST = 0.3
+#: Documents that the pipeline keeps have a mean probability of their language at least this share of the way from chance to 1,
+#: and no less than all but this share of held-out documents that were judged right.
+LEAST, LOWEST = 0.3, 0.005
+
+
+def threshold(held_out: DataFrame, model: Tagger | None, least: float = LEAST) -> float:
+    """The least score of a known language, from held-out documents (doc_id, text, lang); 0 where there is no choice of languages."""
+    if model is None or len(model.languages) < 2:
+        return 0.0
+    chance = 1 / len(model.languages)
+    rows = held_out.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    chosen = training_ids(rows.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "lang"), "lang", DOCUMENTS)
+    ranks = [r["rank"] for r in chosen.select("rank").distinct().collect()]  # DOCUMENTS x languages at most
+    judged = predict(rows.where(F.xxhash64("doc_id", F.lit(7)).isin(ranks)), model) if ranks else None
+    scores = sorted(r["score"] for r in judged.where("lang_pred = lang").groupBy("doc_id").agg(F.min("score").alias("score")).collect()) if judged is not None else []
+    return max(chance + least * (1 - chance), scores[int(LOWEST * len(scores))] if scores else 0.0)
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs whose language is recognised, with docs' columns."""
     model = fit(docs.where(fold_of("doc_id", 3) != 1))
+    lowest = threshold(docs.where(fold_of("doc_id", 3) == 1), model, least)
     copy = docs.withColumn("\x00copy", F.col("text"))
     judged = predict(copy, model, text_col="\x00copy")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= lowest)).select(*docs.columns)

@@ -388,6 +388,17 @@ def test_language(spark, docs, none, data):
     assert kept.columns == real.columns and kept.count() > 0.97 * real.count()
 
 
+def test_unknown_languages_are_rejected_by_score(spark, data):
+    real = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(0)
+    odd = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 600)) for _ in range(20)] + [base64.b64encode(rng.bytes(400)).decode() for _ in range(20)]
+    odd += ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 5]
+    planted = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], real.schema)
+    kept = [r["doc_id"] for r in language.keep_known(real.union(planted)).select("doc_id").collect()]
+    assert sum(i >= 10**9 for i in kept) <= len(odd) // 2 and sum(i < 10**9 for i in kept) > 0.97 * real.count()
+    assert language.threshold(real.limit(0), language.fit(real, documents=20)) == pytest.approx(0.25 + 0.75 * language.LEAST)
+
+
 def test_backpropagation():
     rng = np.random.default_rng(0)
     net = language.Tagger(["a", "b"], language.Direction.new(rng, 3), language.Direction.new(rng, 3), rng.standard_normal((6, 2)).astype(np.float32), np.zeros(2, np.float32))
