@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage of df in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -32,33 +39,37 @@ WORDS = np.ones(256, np.uint8)
 WORDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SLICE = 1 << 20
+_SLICE = 1 << 17
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
-_BASE, _WRAP = 0x9E3779B97F4A7C15 | 5, 1 << 64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions below n."""
-    size = max(_SLICE, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        if size > _SLICE:
-            for k in [k for k in _powers if k > _SLICE]:
-                del _powers[k]
-        both = []
-        for base in (_BASE, pow(_BASE, -1, _WRAP)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _powers[size] = tuple(both)
-    return _powers[size]
+_factors = np.empty(0, np.uint64)
+
+
+def _factors_to(n: int) -> np.ndarray:
+    """An odd factor for each position in a token, each drawn for itself; those below n."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(np.arange(1 << (n - 1).bit_length(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    return _factors
 
 
 def tokens_of(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of texts, in order, and for each text the index of its first token (and the total at the end).
 
-    A token is a maximal run of bytes of one class other than 0; A-Z count as a-z. Hashes are a polynomial over 64 bits,
-    taken from one running sum, so no step goes word by word. Texts are worked on in slices that end at a separator.
+    A token is a maximal run of bytes of one class other than 0; A-Z count as a-z. A hash is the sum of each byte's random
+    number times the random factor of its position, modulo 2**64, then mixed: there is no base whose powers repeat, so no family of words
+    meets by construction, and two words meet with a chance of 2**-60 or so. No step goes word by word. Texts are worked on in
+    slices that end at a separator.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     begins = np.zeros(len(texts) + 1, np.int64)
@@ -77,15 +88,14 @@ def tokens_of(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.ndarr
                 kind = kind[: end - at]
                 break
             size *= 2
-        power, inverse = _powers_to(len(kind) + 1)
-        total = np.zeros(len(kind) + 1, np.uint64)
-        np.cumsum(_VALUES[data[at:end]] * power[: len(kind)], out=total[1:])
-        edges = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
-        first, last = edges[:-1], edges[1:]
+        edges = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]))
+        first, counts = edges[:-1], np.diff(edges)
+        place = np.arange(len(kind), dtype=np.int32) - np.repeat(first.astype(np.int32), counts)
+        values = _VALUES[data[at:end]]
+        values *= _factors_to(int(counts.max()))[place]
         keep = kind[first] != 0
-        first, last = first[keep], last[keep]
-        hashes.append(mix((total[last] - total[first]) * inverse[first]))
-        starts.append(first + at)
+        hashes.append(mix(np.add.reduceat(values, first)[keep]))
+        starts.append(first[keep] + at)
         at = end
     if not hashes:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
@@ -108,15 +118,6 @@ def parts(batch, rows: int = 512):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def training_ids(rows: DataFrame, strata: str, per_stratum: int) -> DataFrame:
     """A bounded, stratified sample of rows (id, <strata>): columns <strata>, rank, n.
 
