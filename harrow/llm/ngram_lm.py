@@ -1,13 +1,17 @@
-"""Scores of texts under a two-gram model, kept as an Elias-Fano trie in shards.
-
-Model: P(w | u) = (c(u w) + M P(w)) / (c(u) + M), with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) over the training tokens.
-In logarithms the numerator depends on w and the pairs that end in w, the denominator on u alone, so a shard that has all tokens w
-of some words can do its part of every text. The trie goes from a word back to the words before it: level 1 holds the
-words, level 2 for each word the words before it, with monotone pointers between them. Both levels are Elias-Fano sequences; an entry of
-level 2 is looked up by a search for the successor within the range of its word. Probabilities are kept quantised.
-
-1. Counts of all words give N, V and the few words so frequent that one shard would be too much for them.
-2. Each task packs the tokens of its texts by shard. A shard builds its trie from the training tokens and looks up all tokens.
+"""Scores of texts under an n-gram model, kept as an Elias-Fano trie in shards.
+
+Model, for a word w after the words ... v u (three-grams by default): N(w) = M P(w) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) over the
+training tokens, N(u w) = c(u w) + N(w), N(v u w) = c(v u w) + K N(u w), and so on; P(w | v u) = N(v u w) / D(v u), where D, the same
+sum over all w, is M, D(u) = c(u) + M, D(v u) = c(v u) + K D(u). So counts of longer contexts outweigh those of shorter ones, and all sums to 1.
+The numerator depends on w and on the n-grams that end in w, the denominator on the context's last word and those that end in
+it, so a shard that has all tokens w of some words can do its part of every text. The trie goes from a word back to the words before it: level
+1 holds the words, each further level for each entry of the one above the words before it, with monotone pointers between them. All levels
+are Elias-Fano sequences; an entry below the first is looked up by a search for the successor within the range of its parent. The
+logarithms of N and D are kept quantised with each entry.
+
+1. Counts of all words give N, V, the number of shards, and the words so frequent that one shard would be too much for them;
+   of the n-grams that end in such words those are counted that are too frequent themselves.
+2. Each task packs the tokens of its texts by shard, as a small trie of its own. A shard merges these into its trie and looks up all tokens.
 3. The parts of each text's score return to its chunk and are added up.
 """
 
@@ -25,12 +29,14 @@ from pyspark.sql import types as T
 
 from harrow.llm.common import fold_of, mix, parts, shards, table, texts_of, tokens_of
 
-#: Weight of the one-word model, as a number of tokens.
-PRIOR = 1000.0
-#: Bits by which a word before is known within the range of its word.
-BITS = 40
+#: Longest n-grams; weight of the one-word model, as a number of tokens; weight of the model one word shorter from the third word on.
+ORDER, PRIOR, SHORTER = 3, 1000.0, 0.005
+#: Bits by which the word before is known within the range of its parent: at level 2, and at the levels below.
+BITS, MORE_BITS = 40, 32
 #: Tokens that a task packs together, and texts (an index has 15 bits and one for training).
 PACKED, TEXTS = 2_000_000, 32_000
+#: Mean tokens of a shard, most shards of a task, and most n-grams of a length that are counted as hot (16 bytes each, broadcast).
+SHARD, SHARDS, HOT = 2_000_000, 16, 1 << 20
 END, START = np.uint64(0x0E17), np.uint64(0x57A7)
 LEVELS = 65_535
 
@@ -138,72 +144,89 @@ class EliasFano:
         return high << np.uint64(self.low_bits) | self.lows(i)
 
 
+def bits_of(level: int) -> int:
+    """Bits of the keys of a level below the first."""
+    return BITS if level == 2 else MORE_BITS
+
+
 class Trie:
-    """Words (64-bit hashes) and, below each, the words before it (BITS-bit hashes), with a quantised value for each entry of both levels."""
-
-    def __init__(self, words: np.ndarray, sizes: np.ndarray, before: np.ndarray, word_values: np.ndarray, pair_values: np.ndarray, path: str | None = None):
-        self.words, self.pairs = len(words), len(before)
-        pointers = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64)
-        rank = np.repeat(np.arange(len(words), dtype=np.uint64), sizes)
-        self.bits, arrays = {}, {}
-        # words are kept by their rank among 2**44 slots or so: the top bits; the rest is compared on the exact hashes
-        for name, values, universe in (("word", words >> np.uint64(16), 1 << 48), ("pointer", pointers, self.pairs + 1), ("pair", rank << np.uint64(BITS) | before, max(1, len(words)) << BITS)):
-            self.bits[name], found = EliasFano.arrays(values, universe)
-            arrays |= {f"{name}.{k}": a for k, a in found.items()}
-        self.scale = {}
-        for name, values in (("word", word_values), ("pair", pair_values)):
-            least, most = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-            step = (most - least) / LEVELS or 1.0
-            self.scale[name] = (least, step)
-            arrays[f"{name}.value"] = np.rint((values - least) / step).astype(np.uint16)
-        arrays["word.rest"] = (words & np.uint64(0xFFFF)).astype(np.uint16)
+    """A trie of `order` levels: words (64-bit hashes), and below each entry the words before it (hashes of bits_of() bits).
+
+    keys: for each level its keys, ascending within a parent; sizes: for each level but the last the number of children of each
+    entry; values: for each level a quantised number for each entry, and contexts: the same for all but the last.
+    """
+
+    def __init__(self, keys: list[np.ndarray], sizes: list[np.ndarray], values: list[np.ndarray], contexts: list[np.ndarray], path: str | None = None):
+        self.order, self.entries = len(keys), [len(k) for k in keys]
+        self.bits, self.scale, arrays, counts = {}, {}, {}, {}
+
+        def put(name: str, numbers: np.ndarray, universe: int) -> None:
+            counts[name] = len(numbers)
+            self.bits[name], found = EliasFano.arrays(numbers, universe)
+            arrays.update({f"{name}.{k}": a for k, a in found.items()})
+
+        # of a word's hash the top bits are in the sequence; the rest is compared exactly
+        put("key1", keys[0] >> np.uint64(16), 1 << 48)
+        arrays["rest"] = (keys[0] & np.uint64(0xFFFF)).astype(np.uint16)
+        for level in range(2, self.order + 1):
+            size, bits = sizes[level - 2], bits_of(level)
+            put(f"pointer{level}", np.concatenate(([0], np.cumsum(size))).astype(np.uint64), self.entries[level - 1] + 1)
+            parent = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+            put(f"key{level}", parent << np.uint64(bits) | keys[level - 1], max(1, len(size)) << bits)
+        for kind, lists in (("value", values), ("context", contexts)):
+            for level, numbers in enumerate(lists, 1):
+                least, most = (float(numbers.min()), float(numbers.max())) if len(numbers) else (0.0, 0.0)
+                step = (most - least) / LEVELS or 1.0
+                self.scale[kind, level] = (least, step)
+                arrays[f"{kind}{level}"] = np.rint((numbers - least) / step).astype(np.uint16)
         self.layout = Layout(arrays, path)
         get = self.layout.arrays
-        sizes_of = {"word": self.words, "pointer": self.words + 1, "pair": self.pairs}
-        self.level = {name: EliasFano(n, self.bits[name], get[f"{name}.low"], get[f"{name}.high"], get[f"{name}.zeros"]) for name, n in sizes_of.items()}
+        self.sequence = {name: EliasFano(n, self.bits[name], get[f"{name}.low"], get[f"{name}.high"], get[f"{name}.zeros"]) for name, n in counts.items()}
 
-    def value(self, name: str, i: np.ndarray) -> np.ndarray:
-        least, step = self.scale[name]
-        return least + step * self.layout.arrays[f"{name}.value"][i]
+    def number(self, kind: str, level: int, i: np.ndarray) -> np.ndarray:
+        """The value or context of entries of a level."""
+        least, step = self.scale[kind, level]
+        return least + step * self.layout.arrays[f"{kind}{level}"][i]
 
     def find_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, hit = self.level["word"].successor(words >> np.uint64(16))
+        i, hit = self.sequence["key1"].successor(words >> np.uint64(16))
         rest = (words & np.uint64(0xFFFF)).astype(np.uint16)
-        kept = self.layout.arrays["word.rest"]
+        kept = self.layout.arrays["rest"]
         while True:  # several words may share their top bits
             wrong = hit.copy()
             wrong[hit] = kept[i[hit]] < rest[hit]
             if not wrong.any():
                 break
             i[wrong] += 1
-            hit &= i < self.words
+            hit &= i < self.entries[0]
             again = np.flatnonzero(wrong & hit)
-            hit[again] = self.level["word"].select(i[again]) == words[again] >> np.uint64(16)
+            hit[again] = self.sequence["key1"].select(i[again]) == words[again] >> np.uint64(16)
         hit[hit] = kept[i[hit]] == rest[hit]
         return i, hit
 
-    def find_pairs(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of level 2 for words given by their index: the successor of `before`, relative to the word's own range."""
-        i, hit = self.level["pair"].successor(word.astype(np.uint64) << np.uint64(BITS) | before)
-        end = self.level["pointer"].select(word + 1).astype(np.int64) if len(word) else np.empty(0, np.int64)
-        return i, hit & (i < end)
+    def find_before(self, level: int, parent: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of a level below the first, for parents given by their index: the successor of each key in its parent's range."""
+        if not len(parent):
+            return np.empty(0, np.int64), np.zeros(0, bool)
+        i, hit = self.sequence[f"key{level}"].successor(parent.astype(np.uint64) << np.uint64(bits_of(level)) | keys)
+        return i, hit & (i < self.sequence[f"pointer{level}"].select(parent + 1).astype(np.int64))
 
 
 @dataclass
 class Totals:
     tokens: int  # N
     distinct: int  # V
-    texts: int
-    hot: np.ndarray  # hashes of very frequent words, ascending
-    hot_counts: np.ndarray
+    texts: int  # training texts
+    ranges: int  # shards
+    hot: list[tuple[np.ndarray, np.ndarray]]  # for n-grams of 1, 2, ... words: gram() of those that are very frequent, ascending, and their counts
 
     @property
     def scale(self) -> float:
         return self.tokens + 0.1 * (self.distinct + 1)
 
 
-def tokens_and_before(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts, the token before each, and the index of each one's text."""
+def tokens_and_before(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Tokens of all texts, the order - 1 tokens before each (nearest first, cut to their bits), and the index of each one's text."""
     words, begins = tokens_of(texts)
     counts = np.diff(begins) + 1
     ends = np.cumsum(counts) - 1
@@ -211,49 +234,20 @@ def tokens_and_before(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     inner = np.ones(len(token), bool)
     inner[ends] = False
     token[inner], token[ends] = words, END
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[ends[:-1] + 1] = START
-    before[:1] = START
-    return token, before, np.repeat(np.arange(len(texts)), counts)
-
+    firsts = np.concatenate(([0], ends[:-1] + 1))
+    before, last = [], token
+    for level in range(2, order + 1):
+        moved = np.empty_like(token)
+        moved[1:] = last[:-1]
+        moved[firsts] = START
+        before.append(moved >> np.uint64(64 - bits_of(level)))
+        last = moved
+    return token, before, np.repeat(np.arange(len(texts), dtype=np.int32), counts)
 
-def totals(docs: DataFrame, ranges: int) -> Totals:
-    """Counts of the training tokens of docs (train, text). Words with more than 1 / (4 ranges) of all tokens are hot: 4 ranges of them at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            words, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(words, kind="stable")
-            words, counts = words[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-            return words[first], np.add.reduceat(counts, first)
-
-        for batch in batches:
-            for part in parts(batch, 2048):
-                token, _, _ = tokens_and_before(texts_of(part.column(0)))
-                held.append(np.unique(token, return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
-                        held, size = [], 0
-        if held:
-            words, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
-
-    counts = docs.where("train").select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    row = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct"), F.max(F.when(F.col("word") == int(END), F.col("n"))).alias("texts")).first()
-    tokens = row["tokens"] or 0
-    hot = counts.where(F.col("n") >= max(1000, tokens / (4 * ranges))).collect()
-    counts.unpersist()
-    words = np.array([r["word"] for r in hot], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return Totals(tokens, row["distinct"], row["texts"] or 0, words[order], np.array([r["n"] for r in hot], np.int64)[order])
+def longer(gram: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams with one more word in front; those of one word are the word's own."""
+    return mix(gram ^ mix(before + np.uint64(0x51ED270B)))
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,40 +257,146 @@ def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_keys[at] == keys
 
 
-SENT = "shard int, chunk long, words binary, runs binary, low binary, high binary, local binary, ids binary"
+def gram_counts(docs: DataFrame, hot: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(gram, n, every): training and all occurrences in docs (train, text) of the n-grams that are one word longer than the last of hot and end in one of these."""
+    level = len(hot) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> list[np.ndarray]:
+            gram, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(gram, kind="stable")
+            gram = gram[order]
+            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            return [gram[first], *(np.add.reduceat(c[order], first) for c in counts)]
+
+        def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["gram", "n", "every"])
 
-def packed_tokens(docs: DataFrame, known: Totals, ranges: int) -> DataFrame:
-    """Tokens of docs (id, train, text) packed by shard, and one row with the ids of each chunk's texts."""
+        for batch in batches:
+            for part in parts(batch, 1024):
+                gram, before, index = tokens_and_before(texts_of(part.column(1)), level)
+                train = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[index]
+                for depth, (keys, _) in enumerate(shared.value):
+                    some = lookup(keys, gram)[1]
+                    train, before = train[some], [x[some] for x in before]
+                    gram = longer(gram[some], before[depth])
+                if len(gram):
+                    grams, at = np.unique(gram, return_inverse=True)
+                    held.append([grams, *(np.bincount(at, w, len(grams)).astype(np.int64) for w in (train, None))])
+                    size += len(grams)
+                if size > 1_500_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 750_000:
+                        yield rows(held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(merged())
+
+    return docs.select("train", "text").mapInArrow(run, "gram long, n long, every long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def totals(docs: DataFrame, order: int, least: int) -> Totals:
+    """Counts of the tokens of docs (train, text). Hot is what has more than a quarter of a shard's mean number of all tokens, or HOT of them at most."""
+    counts, hot = gram_counts(docs, []).persist(), []
+    row = counts.agg(F.sum("n").alias("tokens"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("distinct"), F.max(F.when(F.col("gram") == int(END), F.col("n"))).alias("texts")).first()
+    every = row["every"] or 0
+    ranges = max(least, -(-every // SHARD))
+    frequent = max(1, every / (4 * ranges), every / HOT)
+    while True:
+        found = counts.where(F.col("every") >= frequent).select("gram", "n").collect()  # 4 for each shard and HOT at most
+        counts.unpersist()
+        if not found:
+            break
+        grams = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+        by = np.argsort(grams)
+        hot.append((grams[by], np.array([r["n"] for r in found], np.int64)[by]))
+        if len(hot) == order:
+            break
+        counts = gram_counts(docs, hot)
+    return Totals(row["tokens"] or 0, row["distinct"], row["texts"] or 0, ranges, hot)
+
+
+def joined(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of little-endian numbers as one value: how many there are, for each the bytes of a number and their count, then all numbers."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], "<u4")
+    return b"".join([head.tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def parted(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    head, at, out = np.frombuffer(data, "<u4", 2 * n, 4).tolist(), 4 + 8 * n, []
+    for width, count in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(data, f"<u{width}", count, at))
+        at += width * count
+    return out
+
+
+def level_starts(token: np.ndarray, before: list[np.ndarray]) -> list[np.ndarray]:
+    """For sorted n-grams of 1, 2, ... words: where each different one begins."""
+    new = np.ones(len(token), bool)
+    out = []
+    for level, keys in enumerate([token, *before]):
+        changed = keys[1:] != keys[:-1]
+        new[1:] = new[1:] | changed if level else changed
+        out.append(np.flatnonzero(new))
+    return out
+
+
+SENT = "part int, shard int, chunk long, body binary, ids binary"
+
+
+def packed_tokens(docs: DataFrame, known: Totals, order: int, tasks: int) -> DataFrame:
+    """Tokens of docs (id, train, text) packed by shard, and one row with the ids of each chunk's texts.
+
+    A body has, for each word, its number of different words before it, and so on down the levels, for each n-gram its occurrences, and
+    for each of these its text in the chunk. Hot words are dealt out with the word before, hot pairs with one more, and the
+    longest hot n-grams with the chunk.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def pack(chunk: int, texts: list[bytes], ids: list[pa.RecordBatch], train: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, before, index = tokens_and_before(texts)
-        _, hot = lookup(shared.value.hot, token)
-        spread = np.where(hot, mix(token ^ mix(before)), token)
-        shard = ((spread >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-        before = before >> np.uint64(64 - BITS)
-        order = np.lexsort((before, token, shard))
-        token, before, shard = token[order], before[order], shard[order]
-        local = (index[order] | (train[index[order]].astype(np.int64) << 15)).astype("<u2")
-        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (shard[1:] != shard[:-1]))))
-        runs = np.diff(np.concatenate((first, [len(token)]))).astype("<u4")
-        found, at = np.unique(shard[first], return_index=True)
-        shard_of, blobs = [], [[], [], [], [], []]
-        for r, a, b in zip(found.tolist(), at, [*at[1:], len(first)], strict=True):
-            lo, hi = first[a], first[b] if b < len(first) else len(token)
-            shard_of.append(r)
-            for blob, x in zip(blobs, (token[first[a:b]], runs[a:b], (before[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4"), (before[lo:hi] >> np.uint64(32)).astype("u1"), local[lo:hi]), strict=True):
-                blob.append(x.tobytes())
-        n = len(shard_of)
-        table_of = pa.Table.from_batches(ids)
+        ranges = shared.value.ranges
+        token, before, index = tokens_and_before(texts, order)
+        spread, gram, some = token, token, np.arange(len(token))
+        for level, (keys, _) in enumerate(shared.value.hot, 1):
+            hot = lookup(keys, gram)[1]
+            some, gram = some[hot], gram[hot]
+            if not len(some):
+                break
+            gram = longer(gram, before[level - 1][some]) if level < order else mix(gram ^ mix(np.full(len(gram), chunk, np.uint64)))
+            spread = spread.copy() if spread is token else spread
+            spread[some] = gram
+        by = np.lexsort((*before[::-1], spread))
+        local = (index[by] | (train[index[by]].astype(np.int32) << 15)).astype("<u2")
+        shard = ((spread[by] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        del spread, index
+        token, before = token[by], [b[by] for b in before]
+        del by
+        edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            keys = [token[a:b], *(x[a:b] for x in before)]
+            starts = level_starts(keys[0], keys[1:])
+            arrays = []
+            for level, (k, at) in enumerate(zip(keys, starts, strict=True), 1):
+                k = k[at]
+                arrays += [k] if level == 1 else [k.astype("<u4"), (k >> np.uint64(32)).astype("u1")] if level == 2 else [k.astype("<u4")]
+                below = np.searchsorted(starts[level], at) if level < order else at
+                arrays.append(np.diff(below, append=len(starts[level]) if level < order else b - a).astype("<u4"))
+            r = int(shard[a])
+            yield row(r * tasks // ranges, r, chunk, joined([*arrays, local[a:b]]), None)
         sink = pa.BufferOutputStream()
+        table_of = pa.Table.from_batches(ids)
         with pa.ipc.new_stream(sink, table_of.schema) as out:
             out.write_table(table_of)
-        shard_of.append(chunk % ranges)
-        for blob in blobs:
-            blob.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(shard_of, pa.int32()), pa.array([chunk] * (n + 1), pa.int64()), *(pa.array(b, pa.binary()) for b in blobs), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary())], [f.split()[0] for f in SENT.split(", ")])
+        yield row(chunk % tasks, -1, chunk, None, sink.getvalue().to_pybytes())
+
+    def row(part: int, shard: int, chunk: int, body: bytes | None, ids: bytes | None) -> pa.RecordBatch:
+        values = (part, pa.int32()), (shard, pa.int32()), (chunk, pa.int64()), (body, pa.binary()), (ids, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], [f.split()[0] for f in SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -315,107 +415,188 @@ def packed_tokens(docs: DataFrame, known: Totals, ranges: int) -> DataFrame:
         if texts:
             yield from pack(chunk, texts, ids, np.concatenate(train))
 
-    return docs.select("id", "train", F.col("text").cast("string").alias("text")).mapInArrow(run, SENT)
+    return docs.select("id", "train", "text").mapInArrow(run, SENT)
 
 
 BACK = "chunk long, local binary, tokens binary, known binary, base binary, score binary, ids binary"
 
 
-def scored_parts(sent: DataFrame, known: Totals, ranges: int, prior: float = PRIOR) -> DataFrame:
-    """Each shard's part of the counts and scores of the texts of each chunk."""
+class Shard:
+    """The n-grams of one shard, out of the bodies of all chunks."""
+
+    def __init__(self, order: int):
+        self.order, self.chunks, self.locals, self.keys, self.sizes, self.train = order, [], [], [[] for _ in range(order)], [], []
+
+    def add(self, chunk: int, body: bytes) -> None:
+        *arrays, local = parted(body)
+        at, entries = 0, []
+        for level in range(1, self.order + 1):
+            wide = 2 if level == 2 else 1
+            keys = arrays[at].astype(np.uint64) | arrays[at + 1].astype(np.uint64) << np.uint64(32) if wide == 2 else arrays[at]
+            sizes = arrays[at + wide].astype(np.int64)
+            entries.append(keys)
+            if level < self.order:  # what stands above is repeated for each entry of the level below
+                entries = [np.repeat(k, sizes) for k in entries]
+            at += wide + 1
+        for held, k in zip(self.keys, entries, strict=True):
+            held.append(k)
+        self.chunks.append(chunk)
+        self.locals.append(local)
+        self.sizes.append(arrays[-1])
+        self.train.append(np.add.reduceat((local >> 15).astype(np.int32), np.cumsum(sizes) - sizes))
+
+    def scored(self, stats: Totals, prior: float, shorter: float) -> Iterator[list]:
+        """For each chunk: its texts, and their numbers of tokens and of known ones, base and score in this shard."""
+        order, log_k = self.order, np.log10(shorter)
+        keys = [np.concatenate(k) for k in self.keys]
+        self.keys = None
+        by = np.lexsort(keys[::-1])
+        keys = [k[by] for k in keys]
+        train = np.concatenate(self.train)[by]
+        starts = level_starts(keys[0], keys[1:])
+        groups, counts, parent, gram = [], [], [], None
+        for level in range(1, order + 1):
+            at = starts[level - 1]
+            groups.append(keys[level - 1][at].astype(np.uint64))
+            count = np.add.reduceat(train, at).astype(np.int64)
+            parent.append(np.searchsorted(starts[level - 2], at, side="right") - 1 if level > 1 else None)
+            gram = groups[0] if level == 1 else longer(gram[parent[-1]], groups[-1])
+            if level <= len(stats.hot):
+                found, hot = lookup(stats.hot[level - 1][0], gram)
+                count[hot] = stats.hot[level - 1][1][found[hot]]
+            counts.append(count)
+        del keys, train, gram
+        # the trie of what the training texts have
+        seen, rank, sizes, values, contexts = [c > 0 for c in counts], None, [], [], []
+        whole = spread = None
+        for level in range(1, order + 1):
+            count, mine = counts[level - 1], seen[level - 1]
+            if level == 1:
+                whole, spread = prior * (count + 0.1) / stats.scale, count + prior
+            else:
+                sizes.append(np.bincount(rank[parent[level - 1][mine]], minlength=int(seen[level - 2].sum())))
+                weight = 1.0 if level == 2 else shorter
+                whole, spread = count + weight * whole[parent[level - 1]], count + shorter * spread[parent[level - 1]]
+            rank = np.cumsum(mine) - 1
+            values.append(np.log10(whole[mine]))
+            if level < order:
+                contexts.append(np.log10(spread[mine]))
+        del whole, spread, rank
+        trie = Trie([g[s] for g, s in zip(groups, seen, strict=True)], sizes, values, contexts)
+        del values, contexts, sizes, seen
+        # what it gives for all n-grams: a longer one that the trie hasn't is worth what its parent is, less the weight
+        words, known = trie.find_words(groups[0])
+        at, hit = words, known
+        score = np.full(len(words), np.log10(prior * 0.1 / stats.scale) + max(0, order - 2) * log_k)
+        score[hit] = trie.number("value", 1, at[hit]) + max(0, order - 2) * log_k
+        after = np.full(len(words), np.log10(prior) + max(0, order - 2) * log_k)
+        if order > 1:
+            after[hit] = trie.number("context", 1, at[hit]) + (order - 2) * log_k
+        for level in range(2, order + 1):
+            up = parent[level - 1]
+            score, after, hit, above = score[up], after[up], hit[up], at[up]
+            some = np.flatnonzero(hit)
+            found, there = trie.find_before(level, above[some], groups[level - 1][some])
+            at, hit = np.zeros(len(up), np.int64), np.zeros(len(up), bool)
+            at[some], hit[some] = found, there
+            some = np.flatnonzero(hit)
+            score[some] = trie.number("value", level, at[some]) + (order - level) * log_k
+            if level < order:
+                after[some] = trie.number("context", level, at[some]) + (order - 1 - level) * log_k
+        # a word is also what the next token follows
+        word = np.searchsorted(starts[0], starts[-1], side="right") - 1
+        if order > 1:
+            score -= np.where(groups[0][word] == END, 0.0, after)
+        base = np.log10(counts[0] + 0.1)[word]
+        here = (counts[0] > 0)[word]
+        del groups, counts, parent, after, trie
+        entry = np.empty(len(by), np.int32)
+        entry[by] = np.repeat(np.arange(len(starts[-1]), dtype=np.int32), np.diff(starts[-1], append=len(by)))
+        del by
+        done = 0
+        for chunk, local, size in zip(self.chunks, self.locals, self.sizes, strict=True):
+            mine = np.repeat(entry[done : done + len(size)], size)
+            done += len(size)
+            used, back = np.unique(local & 0x7FFF, return_inverse=True)
+            sums = [np.bincount(back, w, len(used)) for w in (None, here[mine], base[mine], score[mine])]
+            yield [chunk, used.astype("<u2"), sums[0].astype("<u4"), sums[1].astype("<u4"), sums[2], sums[3]]
+
+
+def scored_parts(sent: DataFrame, known: Totals, order: int, tasks: int, prior: float = PRIOR, shorter: float = SHORTER) -> DataFrame:
+    """Each shard's part of the counts and scores of the texts of each chunk. A task has one shard at a time in memory."""
     shared = sent.sparkSession.sparkContext.broadcast(known)
     names = [f.split()[0] for f in BACK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, rows = shared.value, []
+        def ended(held: Shard) -> Iterator[pa.RecordBatch]:
+            for chunk, *blobs in held.scored(shared.value, prior, shorter):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([None], pa.binary())], names)
+
+        held, at = None, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if row[-1] is None:
-                    rows.append(row)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([None], pa.binary())] * 5, pa.array([row[-1]], pa.binary())], names)
-        if not rows:
-            return
-        token = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(r, "<u4")) for _, w, r, *_ in rows])
-        before = np.concatenate([np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "u1").astype(np.uint64) << np.uint64(32) for *_, low, high, _, _ in rows])
-        local = np.concatenate([np.frombuffer(x, "<u2") for *_, x, _ in rows])
-        source = np.repeat(np.arange(len(rows)), [len(r[5]) // 2 for r in rows])
-        train = local >> 15 == 1
-        order = np.lexsort((before, token))
-        first_word = np.concatenate(([True], token[order][1:] != token[order][:-1]))
-        first_pair = first_word | np.concatenate(([True], before[order][1:] != before[order][:-1]))
-        at_word, at_pair = np.flatnonzero(first_word), np.flatnonzero(first_pair)
-        words, pair_word, pair_before = token[order][at_word], np.cumsum(first_word)[at_pair] - 1, before[order][at_pair]
-        count = np.add.reduceat(train[order].astype(np.int64), at_word)
-        pair_count = np.add.reduceat(train[order].astype(np.int64), at_pair)
-        at, hot = lookup(stats.hot, words)
-        if hot.any():
-            count[hot] = stats.hot_counts[at[hot]]
-        # the trie of what the training texts have
-        seen_word, seen_pair = count > 0, pair_count > 0
-        single = np.log10(prior * (count + 0.1) / stats.scale)
-        rank = np.cumsum(seen_word) - 1
-        sizes = np.bincount(rank[pair_word[seen_pair]], minlength=int(seen_word.sum()))
-        value = np.log10(pair_count[seen_pair] + prior * (count[pair_word[seen_pair]] + 0.1) / stats.scale)
-        trie = Trie(words[seen_word], sizes, pair_before[seen_pair], single[seen_word], value)
-        # what it gives for all pairs
-        word_at, word_hit = trie.find_words(words)
-        single = np.where(word_hit, trie.value("word", np.where(word_hit, word_at, 0)) if trie.words else 0.0, np.log10(prior * 0.1 / stats.scale))
-        pair_score = single[pair_word]
-        candidates = np.flatnonzero(word_hit[pair_word])
-        pair_at, pair_hit = trie.find_pairs(word_at[pair_word[candidates]], pair_before[candidates])
-        pair_score[candidates[pair_hit]] = trie.value("pair", pair_at[pair_hit])
-        # a word is also what the next token follows
-        as_context = np.where(words == END, 0.0, -np.log10(count + prior))
-        pair_of, word_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        pair_of[order], word_of[order] = np.cumsum(first_pair) - 1, np.cumsum(first_word) - 1
-        base, score = np.log10(count + 0.1)[word_of], pair_score[pair_of] + as_context[word_of]
-        here = (count > 0)[word_of].astype(np.float64)
-        text = source * (TEXTS + 1) + (local & 0x7FFF)
-        used, back = np.unique(text, return_inverse=True)
-        sums = [np.bincount(back, w, len(used)) for w in (None, here, base, score)]
-        edges = np.searchsorted(used, np.arange(len(rows) + 1) * (TEXTS + 1))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            blobs = [(used[a:b] % (TEXTS + 1)).astype("<u2"), sums[0][a:b].astype("<u4"), sums[1][a:b].astype("<u4"), sums[2][a:b], sums[3][a:b]]
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([None], pa.binary())], names)
-
-    return sent.repartitionById(ranges, F.col("shard")).mapInArrow(run, BACK)
-
-
-def score_texts(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
+            for shard, chunk, body, ids in zip(*batch.columns[1:], strict=True):
+                if ids.is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *[pa.array([None], pa.binary())] * 5, pa.array([ids.as_py()], pa.binary())], names)
+                    continue
+                if shard.as_py() != at:
+                    if held is not None:
+                        yield from ended(held)
+                    held, at = Shard(order), shard.as_py()
+                held.add(chunk.as_py(), body.as_py())
+        if held is not None:
+            yield from ended(held)
+
+    dealt = sent.repartitionById(tasks, F.col("part"))
+    return (dealt.sortWithinPartitions("shard") if known.ranges > tasks else dealt).mapInArrow(run, BACK)
+
+
+def score_texts(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = ORDER, shorter: float = SHORTER) -> DataFrame:
     """One row for each row of docs: <id_col>, train, n_tokens, n_known, train_tokens, base_score, score.
 
     Counts come from the rows whose <train_col> is true. Tokens are the words [^\\x20\\x09-\\x0D]+, A-Z as a-z, and one end; null and
-    empty texts have the end alone. base_score is the sum of log10 P(w), score that of log10 P(w | u). Repeated rows count and are scored
+    empty texts have the end alone. base_score is the sum of log10 P(w), score that of log10 of P(w | the order - 1 words before). Repeated rows count and are scored
     each for itself; a null id stays null, a null <train_col> is false. Other columns are not read. An empty table gives no rows.
-    Without any training row both are sums over a model that knows no word.
+    Without any training row both are sums over a model that knows no word. Very long texts are in one chunk whole; order is 2 or more.
     """
-    ranges = shards(docs.sparkSession)
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
+    least = shards(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
-    known = totals(rows, ranges)
-    back = scored_parts(packed_tokens(rows, known, ranges), known, ranges, prior)
+    known = totals(rows, order, least)
+    tasks = min(known.ranges, max(least, -(-known.ranges // SHARDS)))
+    back = scored_parts(packed_tokens(rows, known, order, tasks), known, order, tasks, prior, shorter)
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType)] + [T.StructField(n, t) for n, t in (("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
-    per_token, start = np.log10(known.scale), -np.log10(known.texts + prior)
+    start = known.texts + prior
+    for _ in range(order - 2):
+        start = known.texts + shorter * start
+    per_token, start = np.log10(known.scale), -np.log10(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for chunk, local, *sums, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                entry = held.setdefault(chunk, [np.zeros((4, TEXTS + 1)), None])
-                if ids is not None:
-                    entry[1] = ids
-                    continue
-                at = np.frombuffer(local, "<u2")
-                for total, blob, kind in zip(entry[0], sums, ("<u4", "<u4", np.float64, np.float64), strict=True):
-                    total[at] += np.frombuffer(blob, kind)
-        for sums, ids in held.values():
+        """Rows come sorted by chunk, so one chunk at a time is held."""
+
+        def ended(sums: np.ndarray, ids: bytes) -> Iterator[pa.RecordBatch]:
             whole = pa.ipc.open_stream(ids).read_all().combine_chunks()
             tokens, hits, base, score = sums[:, : whole.num_rows]
             columns = [tokens.astype(np.int64), hits.astype(np.int64), np.full(len(tokens), known.tokens), base - tokens * per_token, score + start]
-            out = pa.table([whole.column(0), whole.column(1), *map(pa.array, columns)], names=[f.name for f in schema.fields])
-            yield from out.to_batches(16_384)
+            yield from pa.table([whole.column(0), whole.column(1), *map(pa.array, columns)], names=[f.name for f in schema.fields]).to_batches(16_384)
+
+        sums, ids, at = np.zeros((4, TEXTS + 1)), None, None
+        for batch in batches:
+            for chunk, local, *blobs, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != at:
+                    if at is not None:
+                        yield from ended(sums, ids)
+                    sums, ids, at = np.zeros((4, TEXTS + 1)), None, chunk
+                if named is not None:
+                    ids = named
+                    continue
+                texts = np.frombuffer(local, "<u2")
+                for total, blob, kind in zip(sums, blobs, ("<u4", "<u4", np.float64, np.float64), strict=True):
+                    total[texts] += np.frombuffer(blob, kind)
+        if at is not None:
+            yield from ended(sums, ids)
 
-    return back.repartition(F.col("chunk")).mapInArrow(run, schema)
+    return back.repartition(F.col("chunk")).sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

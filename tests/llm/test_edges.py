@@ -291,24 +291,66 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
-def test_language_model_against_plain_counts(spark, docs, none):
-    rows = docs.withColumn("train", F.col("lang") == "en")
-    found = ngram_lm.score_texts(rows, prior=50.0).collect()
-    texts = [(r[0], (r[1] or "").encode().lower().split() + [None], r[2] == "en") for r in ROWS]
-    c = Counter(w for _, t, train in texts if train for w in t)
-    pairs = Counter(p for _, t, train in texts if train for p in zip([0, *t[:-1]], t, strict=True))
-    starts, n = sum(train for *_, train in texts), sum(c.values())
-    z = n + 0.1 * (len(c) + 1)
-    want = []
-    for doc, t, train in texts:
-        base = sum(math.log10((c[w] + 0.1) / z) for w in t)
-        score = sum(math.log10((pairs[u, w] + 50 * (c[w] + 0.1) / z) / ((starts if u == 0 else c[u]) + 50)) for u, w in zip([0, *t[:-1]], t, strict=True))
-        want.append((doc, train, len(t), sum(c[w] > 0 for w in t), n, base, score))
+def plain_model(rows, order, prior, shorter):
+    """rows: (id, text, train). The same model by plain counts of n-grams."""
+    texts = [(i, [0] * (order - 1) + (t or "").encode().lower().split() + [None], train) for i, t, train in rows]
+    counts, contexts = Counter(), Counter()
+    for _, t, train in texts:
+        for at in range(order - 1, len(t)):
+            if train:
+                counts.update(tuple(t[at - k : at + 1]) for k in range(order))
+                contexts.update(tuple(t[at - k : at]) for k in range(1, order))
+    n, v = (sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts))
+    z = n + 0.1 * (v + 1)
+
+    def probability(gram):
+        top, below = prior * (counts[gram[-1:]] + 0.1) / z, prior
+        for k in range(2, len(gram) + 1):
+            weight = 1 if k == 2 else shorter
+            top, below = counts[gram[-k:]] + weight * top, contexts[gram[-k:-1]] + weight * below
+        return top / below
+
+    out = []
+    for i, t, train in texts:
+        words = t[order - 1 :]
+        score = sum(math.log10(probability(tuple(t[at - order + 1 : at + 1]))) for at in range(order - 1, len(t)))
+        base = sum(math.log10((counts[w,] + 0.1) / z) for w in words)
+        out.append((i, train, len(words), sum(counts[w,] > 0 for w in words), n, base, score))
+    return out
+
+
+def same_scores(found, want):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert len(found) == len(want)
     for a, b in zip(sorted(map(tuple, found), key=key), sorted(want, key=key), strict=True):
         assert tuple(a[1:5]) == tuple(b[1:5]) and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3)
-    assert ngram_lm.score_texts(none.withColumn("train", F.lit(True))).count() == 0
-    assert ngram_lm.score_texts(docs.withColumn("train", F.lit(None).cast("boolean"))).where("n_known = 0 and train_tokens = 0").count() == len(ROWS)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_against_plain_counts(docs, none, order):
+    rows = docs.withColumn("train", F.col("lang") == "en")
+    found = ngram_lm.score_texts(rows, prior=50.0, order=order, shorter=0.1).collect()
+    same_scores(found, plain_model([(i, t, lang == "en") for i, t, lang in ROWS], order, 50, 0.1))
+    assert ngram_lm.score_texts(none.withColumn("train", F.lit(True)), order=order).count() == 0
+    assert ngram_lm.score_texts(docs.withColumn("train", F.lit(None).cast("boolean")), order=order).where("n_known = 0 and train_tokens = 0").count() == len(ROWS)
+
+
+@pytest.mark.parametrize("order, packed, shard", [(2, 150, 300), (3, 150, 300), (3, 2_000_000, 500), (4, 90, 200)])
+def test_language_model_with_hot_words_and_several_chunks(spark, monkeypatch, order, packed, shard):
+    monkeypatch.setattr(ngram_lm, "PACKED", packed)
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
+    monkeypatch.setattr(ngram_lm, "SHARDS", 3)
+    rng = np.random.default_rng(order)
+    rows = []
+    for i in range(700):
+        words = [f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 20)) if x < 300]
+        if i % 3 == 0:
+            words += ["hot"] * 9 + "of the one very common passage".split()
+        rows.append((i, " ".join(words), i % 10 != 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(2)
+    known = ngram_lm.totals(df.select("train", "text"), order, 2)
+    assert len(known.hot) == order and known.ranges > 6
+    same_scores(ngram_lm.score_texts(df, 40.0, order=order, shorter=0.05).collect(), plain_model(rows, order, 40, 0.05))
 
 
 @settings(max_examples=60, deadline=None)
@@ -325,13 +367,26 @@ def test_elias_fano(numbers, extra):
 
 
 def test_trie_in_a_mapped_file(tmp_path):
-    words = np.array([5, 70_000, 70_001, 1 << 60], np.uint64)
-    trie = ngram_lm.Trie(words, np.array([2, 0, 1, 1]), np.array([3, 9, 3, 4], np.uint64), np.array([-1.0, -2, -3, -4]), np.array([-0.5, -0.25, -1.5, -2.5]), str(tmp_path / "trie"))
+    words, before, further = np.array([5, 70_000, 70_001, 1 << 60], np.uint64), np.array([3, 9, 3, 4], np.uint64), np.array([8, 7, 8], np.uint64)
+    sizes = [np.array([2, 0, 1, 1]), np.array([1, 0, 0, 2])]
+    values, contexts = [np.array([-1.0, -2, -3, -4]), np.array([-0.5, -0.25, -1.5, -2.5]), np.array([-1.0, -2, -3])], [np.zeros(4), np.ones(4)]
+    trie = ngram_lm.Trie([words, before, further], sizes, values, contexts, str(tmp_path / "trie"))
     at, hit = trie.find_words(np.array([70_001, 6, 1 << 60, 5], np.uint64))
     assert hit.tolist() == [True, False, True, True] and at[hit].tolist() == [2, 3, 0]
-    at, hit = trie.find_pairs(np.array([0, 0, 1, 2, 3]), np.array([9, 4, 3, 3, 3], np.uint64))
-    assert hit.tolist() == [True, False, False, True, False] and trie.value("pair", at[hit]).tolist() == pytest.approx([-0.25, -1.5], abs=1e-3)
-    assert (tmp_path / "trie").stat().st_size > 0
+    at, hit = trie.find_before(2, np.array([0, 0, 1, 2, 3]), np.array([9, 4, 3, 3, 3], np.uint64))
+    assert hit.tolist() == [True, False, False, True, False] and trie.number("value", 2, at[hit]).tolist() == pytest.approx([-0.25, -1.5], abs=1e-3)
+    at, hit = trie.find_before(3, np.array([0, 1, 3, 3]), np.array([8, 8, 8, 9], np.uint64))
+    assert hit.tolist() == [True, False, True, False] and trie.number("value", 3, at[hit]).tolist() == pytest.approx([-1.0, -3.0], abs=1e-3)
+    assert trie.number("context", 2, np.array([1])).tolist() == [1.0] and (tmp_path / "trie").stat().st_size > 0
+
+
+def test_words_of_a_family_have_different_hashes():
+    """Words on which every polynomial modulo a power of two agrees."""
+    word = b"a"
+    while len(word) < 4096:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    found, _ = tokens_of([word, word.translate(bytes.maketrans(b"ab", b"ba")), word + b"a"])
+    assert len(set(found.tolist())) == 3
 
 
 VECTORS = [(1, [1.0, 0, 0]), (2, [2.0, 0.1, 0]), (3, [1.0, 0, 0]), (3, [1.0, 0, 0]), (4, [0.0, 1, 0]), (5, [0.0, 0, 0]), (6, None), (7, [1.0, None, 0]), (8, [float("nan"), 1, 1]), (9, [float("inf"), 1, 1]), (10, [1.0, 0]), (None, [1.0, 0, 0]), (11, [1e-200, 1e-200, 0]), (12, [1e200, 1.01e200, 0])]
