@@ -36,7 +36,7 @@ BITS, MORE_BITS = 40, 32
 #: Tokens that a task packs together, and texts (an index has 15 bits and one for training).
 PACKED, TEXTS = 2_000_000, 32_000
 #: Mean tokens of a shard, most shards of a task, and most n-grams of a length that are counted as hot (16 bytes each, broadcast).
-SHARD, SHARDS, HOT = 2_000_000, 16, 1 << 20
+SHARD, SHARDS, HOT = 1_000_000, 32, 1 << 20
 END, START = np.uint64(0x0E17), np.uint64(0x57A7)
 LEVELS = 65_535
 
@@ -80,13 +80,13 @@ class EliasFano:
             part = values & ((np.uint64(1) << width) - np.uint64(1))
             bit = np.arange(n, dtype=np.uint64) * width
             word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
+            np.add.at(low, word, part << shift)  # no two numbers share a bit
             over = np.flatnonzero(shift + width > 64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            np.add.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         ones = (values >> width).astype(np.int64) + np.arange(n)
         top = int(universe >> low_bits) + n + 2
         high = np.zeros(-(-top // 64) + 1, np.uint64)
-        np.bitwise_or.at(high, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        np.add.at(high, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
         zeros = np.zeros(len(high) + 1, np.int64)
         np.cumsum(64 - np.bitwise_count(high).astype(np.int64), out=zeros[1:])
         return low_bits, {"low": low, "high": high, "zeros": zeros.astype(np.uint32) if zeros[-1] < 1 << 32 else zeros}
@@ -225,8 +225,8 @@ class Totals:
         return self.tokens + 0.1 * (self.distinct + 1)
 
 
-def tokens_and_before(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Tokens of all texts, the order - 1 tokens before each (nearest first, cut to their bits), and the index of each one's text."""
+def tokens_in_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts, the index of each one's text, and where each text begins."""
     words, begins = tokens_of(texts)
     counts = np.diff(begins) + 1
     ends = np.cumsum(counts) - 1
@@ -234,15 +234,23 @@ def tokens_and_before(texts: list[bytes], order: int) -> tuple[np.ndarray, list[
     inner = np.ones(len(token), bool)
     inner[ends] = False
     token[inner], token[ends] = words, END
-    firsts = np.concatenate(([0], ends[:-1] + 1))
-    before, last = [], token
-    for level in range(2, order + 1):
-        moved = np.empty_like(token)
-        moved[1:] = last[:-1]
-        moved[firsts] = START
-        before.append(moved >> np.uint64(64 - bits_of(level)))
-        last = moved
-    return token, before, np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    return token, np.repeat(np.arange(len(texts), dtype=np.int32), counts), np.concatenate(([0], ends[:-1] + 1))
+
+
+def shifted(values: np.ndarray, firsts: np.ndarray, start, order: int) -> list[np.ndarray]:
+    """What stands 1, 2, ... order - 1 tokens before each token; start before the first token of a text."""
+    out = [values]
+    for _ in range(order - 1):
+        moved = np.empty_like(values)
+        moved[1:] = out[-1][:-1]
+        moved[firsts] = start
+        out.append(moved)
+    return out[1:]
+
+
+def cut(before: np.ndarray, level: int) -> np.ndarray:
+    """Words before, as the keys of a level."""
+    return before >> np.uint64(64 - bits_of(level))
 
 
 def longer(gram: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -277,12 +285,13 @@ def gram_counts(docs: DataFrame, hot: list[tuple[np.ndarray, np.ndarray]]) -> Da
 
         for batch in batches:
             for part in parts(batch, 1024):
-                gram, before, index = tokens_and_before(texts_of(part.column(1)), level)
+                gram, index, firsts = tokens_in_texts(texts_of(part.column(1)))
+                before = shifted(gram, firsts, START, level)
                 train = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[index]
                 for depth, (keys, _) in enumerate(shared.value):
                     some = lookup(keys, gram)[1]
                     train, before = train[some], [x[some] for x in before]
-                    gram = longer(gram[some], before[depth])
+                    gram = longer(gram[some], cut(before[depth], depth + 2))
                 if len(gram):
                     grams, at = np.unique(gram, return_inverse=True)
                     held.append([grams, *(np.bincount(at, w, len(grams)).astype(np.int64) for w in (train, None))])
@@ -300,14 +309,14 @@ def gram_counts(docs: DataFrame, hot: list[tuple[np.ndarray, np.ndarray]]) -> Da
 
 
 def totals(docs: DataFrame, order: int, least: int) -> Totals:
-    """Counts of the tokens of docs (train, text). Hot is what has more than a quarter of a shard's mean number of all tokens, or HOT of them at most."""
+    """Counts of the tokens of docs (train, text). Hot is what has as many of all tokens as a shard in the mean, so one for each shard at most, and HOT at most."""
     counts, hot = gram_counts(docs, []).persist(), []
     row = counts.agg(F.sum("n").alias("tokens"), F.sum("every").alias("every"), F.count_if(F.col("n") > 0).alias("distinct"), F.max(F.when(F.col("gram") == int(END), F.col("n"))).alias("texts")).first()
     every = row["every"] or 0
     ranges = max(least, -(-every // SHARD))
-    frequent = max(1, every / (4 * ranges), every / HOT)
+    frequent = max(1, every / ranges, every / HOT)
     while True:
-        found = counts.where(F.col("every") >= frequent).select("gram", "n").collect()  # 4 for each shard and HOT at most
+        found = counts.where(F.col("every") >= frequent).select("gram", "n").collect()  # one for each shard, and HOT, at most
         counts.unpersist()
         if not found:
             break
@@ -326,6 +335,17 @@ def joined(arrays: list[np.ndarray]) -> bytes:
     return b"".join([head.tobytes(), *(a.tobytes() for a in arrays)])
 
 
+def narrow(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts, most of which are small, in a byte each; 255 stands for the next of the larger ones, which follow."""
+    return [np.minimum(counts, 255).astype("u1"), counts[counts >= 255].astype("<u4")]
+
+
+def widened(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    counts = small.astype(np.int64)
+    counts[small == 255] = large
+    return counts
+
+
 def parted(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<u4", 1)[0])
     head, at, out = np.frombuffer(data, "<u4", 2 * n, 4).tolist(), 4 + 8 * n, []
@@ -335,17 +355,28 @@ def parted(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def level_starts(token: np.ndarray, before: list[np.ndarray]) -> list[np.ndarray]:
-    """For sorted n-grams of 1, 2, ... words: where each different one begins."""
-    new = np.ones(len(token), bool)
+def level_starts(levels: list[np.ndarray]) -> list[np.ndarray]:
+    """For grouped n-grams of 1, 2, ... words, given by their words from the last one on: where each different one begins."""
+    new = np.zeros(len(levels[0]), bool)
+    new[:1] = True
     out = []
-    for level, keys in enumerate([token, *before]):
-        changed = keys[1:] != keys[:-1]
-        new[1:] = new[1:] | changed if level else changed
+    for keys in levels:
+        new[1:] |= keys[1:] != keys[:-1]
         out.append(np.flatnonzero(new))
     return out
 
 
+def order_of(levels: list[np.ndarray], bits: int) -> np.ndarray:
+    """An order in which equal n-grams stand together, and those that end alike; levels: numbers of so many bits. Sorts one key as long as 63 bits do."""
+    key, width = levels[0].astype(np.int64), bits
+    for more in levels[1:]:
+        if width + bits > 63:
+            _, key = np.unique(key, return_inverse=True)
+            width = int(key.max()).bit_length()
+        key, width = key << bits | more, width + bits
+    return np.argsort(key)
+
+
 SENT = "part int, shard int, chunk long, body binary, ids binary"
 
 
@@ -360,32 +391,38 @@ def packed_tokens(docs: DataFrame, known: Totals, order: int, tasks: int) -> Dat
 
     def pack(chunk: int, texts: list[bytes], ids: list[pa.RecordBatch], train: np.ndarray) -> Iterator[pa.RecordBatch]:
         ranges = shared.value.ranges
-        token, before, index = tokens_and_before(texts, order)
+        token, index, firsts = tokens_in_texts(texts)
+        words, rank = np.unique(token, return_inverse=True)
+        words = np.append(words, START)
+        rank = rank.astype(np.int32)
+        levels = [rank, *shifted(rank, firsts, len(words) - 1, order)]
         spread, gram, some = token, token, np.arange(len(token))
         for level, (keys, _) in enumerate(shared.value.hot, 1):
             hot = lookup(keys, gram)[1]
             some, gram = some[hot], gram[hot]
             if not len(some):
                 break
-            gram = longer(gram, before[level - 1][some]) if level < order else mix(gram ^ mix(np.full(len(gram), chunk, np.uint64)))
+            gram = longer(gram, cut(words[levels[level][some]], level + 1)) if level < order else mix(gram ^ mix(np.full(len(gram), chunk, np.uint64)))
             spread = spread.copy() if spread is token else spread
             spread[some] = gram
-        by = np.lexsort((*before[::-1], spread))
+        shard = ((spread >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.int32)
+        del token, spread, gram
+        by = order_of(levels, len(words).bit_length())
+        by = by[np.argsort(shard[by], kind="stable")]
         local = (index[by] | (train[index[by]].astype(np.int32) << 15)).astype("<u2")
-        shard = ((spread[by] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-        del spread, index
-        token, before = token[by], [b[by] for b in before]
-        del by
+        shard, levels = shard[by], [x[by] for x in levels]
+        del by, index
         edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            keys = [token[a:b], *(x[a:b] for x in before)]
-            starts = level_starts(keys[0], keys[1:])
+            mine = [x[a:b] for x in levels]
+            starts = level_starts(mine)
             arrays = []
-            for level, (k, at) in enumerate(zip(keys, starts, strict=True), 1):
-                k = k[at]
+            for level, (ranks, at) in enumerate(zip(mine, starts, strict=True), 1):
+                k = words[ranks[at]]
+                k = cut(k, level) if level > 1 else k
                 arrays += [k] if level == 1 else [k.astype("<u4"), (k >> np.uint64(32)).astype("u1")] if level == 2 else [k.astype("<u4")]
                 below = np.searchsorted(starts[level], at) if level < order else at
-                arrays.append(np.diff(below, append=len(starts[level]) if level < order else b - a).astype("<u4"))
+                arrays += narrow(np.diff(below, append=len(starts[level]) if level < order else b - a))
             r = int(shard[a])
             yield row(r * tasks // ranges, r, chunk, joined([*arrays, local[a:b]]), None)
         sink = pa.BufferOutputStream()
@@ -418,54 +455,56 @@ def packed_tokens(docs: DataFrame, known: Totals, order: int, tasks: int) -> Dat
     return docs.select("id", "train", "text").mapInArrow(run, SENT)
 
 
-BACK = "chunk long, local binary, tokens binary, known binary, base binary, score binary, ids binary"
+BACK = "chunk long, sums binary, ids binary"
 
 
 class Shard:
     """The n-grams of one shard, out of the bodies of all chunks."""
 
     def __init__(self, order: int):
-        self.order, self.chunks, self.locals, self.keys, self.sizes, self.train = order, [], [], [[] for _ in range(order)], [], []
+        self.order, self.chunks, self.locals, self.keys, self.sizes = order, [], [], [[] for _ in range(order)], [[] for _ in range(order)]
 
     def add(self, chunk: int, body: bytes) -> None:
         *arrays, local = parted(body)
-        at, entries = 0, []
+        at = 0
         for level in range(1, self.order + 1):
-            wide = 2 if level == 2 else 1
-            keys = arrays[at].astype(np.uint64) | arrays[at + 1].astype(np.uint64) << np.uint64(32) if wide == 2 else arrays[at]
-            sizes = arrays[at + wide].astype(np.int64)
-            entries.append(keys)
-            if level < self.order:  # what stands above is repeated for each entry of the level below
-                entries = [np.repeat(k, sizes) for k in entries]
-            at += wide + 1
-        for held, k in zip(self.keys, entries, strict=True):
-            held.append(k)
+            keys, at = arrays[at], at + 1
+            if level == 2:
+                keys, at = keys.astype(np.uint64) | arrays[at].astype(np.uint64) << np.uint64(32), at + 1
+            self.keys[level - 1].append(keys)
+            self.sizes[level - 1].append(widened(arrays[at], arrays[at + 1]))
+            at += 2
         self.chunks.append(chunk)
         self.locals.append(local)
-        self.sizes.append(arrays[-1])
-        self.train.append(np.add.reduceat((local >> 15).astype(np.int32), np.cumsum(sizes) - sizes))
 
-    def scored(self, stats: Totals, prior: float, shorter: float) -> Iterator[list]:
+    def scored(self, stats: Totals, prior: float, shorter: float) -> Iterator[tuple[int, bytes]]:
         """For each chunk: its texts, and their numbers of tokens and of known ones, base and score in this shard."""
         order, log_k = self.order, np.log10(shorter)
-        keys = [np.concatenate(k) for k in self.keys]
-        self.keys = None
-        by = np.lexsort(keys[::-1])
-        keys = [k[by] for k in keys]
-        train = np.concatenate(self.train)[by]
-        starts = level_starts(keys[0], keys[1:])
-        groups, counts, parent, gram = [], [], [], None
+        # the different n-grams of all chunks, level by level: keys, parents, and for each chunk's n-grams which one it is
+        groups, parent, which = [], [None], None
         for level in range(1, order + 1):
-            at = starts[level - 1]
-            groups.append(keys[level - 1][at].astype(np.uint64))
-            count = np.add.reduceat(train, at).astype(np.int64)
-            parent.append(np.searchsorted(starts[level - 2], at, side="right") - 1 if level > 1 else None)
-            gram = groups[0] if level == 1 else longer(gram[parent[-1]], groups[-1])
-            if level <= len(stats.hot):
-                found, hot = lookup(stats.hot[level - 1][0], gram)
-                count[hot] = stats.hot[level - 1][1][found[hot]]
-            counts.append(count)
-        del keys, train, gram
+            keys = np.concatenate(self.keys[level - 1])
+            self.keys[level - 1] = None
+            if level > 1:
+                bits = np.uint64(bits_of(level))
+                keys = np.repeat(which.astype(np.uint64), np.concatenate(self.sizes[level - 2])) << bits | keys
+                self.sizes[level - 2] = None
+            keys, which = np.unique(keys, return_inverse=True)
+            if level > 1:
+                parent.append((keys >> bits).astype(np.int64))
+                keys &= (np.uint64(1) << bits) - np.uint64(1)
+            groups.append(keys)
+        sizes = np.concatenate(self.sizes[-1])
+        train = np.add.reduceat(np.concatenate(self.locals) >> 15, np.cumsum(sizes) - sizes, dtype=np.int64)
+        counts = [np.bincount(which, train, len(groups[-1])).astype(np.int64)]
+        for level in range(order, 1, -1):
+            counts.insert(0, np.bincount(parent[level - 1], counts[0], len(groups[level - 2])).astype(np.int64))
+        gram = groups[0]
+        for level, (keys, numbers) in enumerate(stats.hot, 1):
+            gram = gram if level == 1 else longer(gram[parent[level - 1]], groups[level - 1])
+            found, hot = lookup(keys, gram)
+            counts[level - 1][hot] = numbers[found[hot]]
+        del keys, train, gram, sizes
         # the trie of what the training texts have
         seen, rank, sizes, values, contexts = [c > 0 for c in counts], None, [], [], []
         whole = spread = None
@@ -490,8 +529,7 @@ class Shard:
         score = np.full(len(words), np.log10(prior * 0.1 / stats.scale) + max(0, order - 2) * log_k)
         score[hit] = trie.number("value", 1, at[hit]) + max(0, order - 2) * log_k
         after = np.full(len(words), np.log10(prior) + max(0, order - 2) * log_k)
-        if order > 1:
-            after[hit] = trie.number("context", 1, at[hit]) + (order - 2) * log_k
+        after[hit] = trie.number("context", 1, at[hit]) + (order - 2) * log_k
         for level in range(2, order + 1):
             up = parent[level - 1]
             score, after, hit, above = score[up], after[up], hit[up], at[up]
@@ -504,22 +542,27 @@ class Shard:
             if level < order:
                 after[some] = trie.number("context", level, at[some]) + (order - 1 - level) * log_k
         # a word is also what the next token follows
-        word = np.searchsorted(starts[0], starts[-1], side="right") - 1
-        if order > 1:
-            score -= np.where(groups[0][word] == END, 0.0, after)
+        word = np.arange(len(groups[0]))
+        for up in parent[1:]:
+            word = word[up]
+        score -= np.where(groups[0][word] == END, 0.0, after)
         base = np.log10(counts[0] + 0.1)[word]
         here = (counts[0] > 0)[word]
-        del groups, counts, parent, after, trie
-        entry = np.empty(len(by), np.int32)
-        entry[by] = np.repeat(np.arange(len(starts[-1]), dtype=np.int32), np.diff(starts[-1], append=len(by)))
-        del by
+        del groups, counts, parent, after, trie, word, up
         done = 0
-        for chunk, local, size in zip(self.chunks, self.locals, self.sizes, strict=True):
-            mine = np.repeat(entry[done : done + len(size)], size)
+        for chunk, local, size in zip(self.chunks, self.locals, self.sizes[-1], strict=True):
+            mine = np.repeat(which[done : done + len(size)], size)
             done += len(size)
-            used, back = np.unique(local & 0x7FFF, return_inverse=True)
-            sums = [np.bincount(back, w, len(used)) for w in (None, here[mine], base[mine], score[mine])]
-            yield [chunk, used.astype("<u2"), sums[0].astype("<u4"), sums[1].astype("<u4"), sums[2], sums[3]]
+            local = (local & 0x7FFF).astype(np.int64)
+            if len(local) > 2000:
+                used, back = None, local
+            else:
+                used, back = np.unique(local, return_inverse=True)
+            sums = [np.bincount(back, w) for w in (None, here[mine], base[mine], score[mine])]
+            if used is None:
+                used = np.flatnonzero(sums[0])
+                sums = [x[used] for x in sums]
+            yield chunk, joined([used.astype("<u2"), *narrow(sums[0]), *narrow(sums[1].astype(np.int64)), sums[2].view("<u8"), sums[3].astype("<f4").view("<u4")])
 
 
 def scored_parts(sent: DataFrame, known: Totals, order: int, tasks: int, prior: float = PRIOR, shorter: float = SHORTER) -> DataFrame:
@@ -529,14 +572,14 @@ def scored_parts(sent: DataFrame, known: Totals, order: int, tasks: int, prior:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(held: Shard) -> Iterator[pa.RecordBatch]:
-            for chunk, *blobs in held.scored(shared.value, prior, shorter):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([None], pa.binary())], names)
+            for chunk, sums in held.scored(shared.value, prior, shorter):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sums], pa.binary()), pa.array([None], pa.binary())], names)
 
         held, at = None, None
         for batch in batches:
             for shard, chunk, body, ids in zip(*batch.columns[1:], strict=True):
                 if ids.is_valid:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *[pa.array([None], pa.binary())] * 5, pa.array([ids.as_py()], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([None], pa.binary()), pa.array([ids.as_py()], pa.binary())], names)
                     continue
                 if shard.as_py() != at:
                     if held is not None:
@@ -582,7 +625,7 @@ def score_texts(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", t
 
         sums, ids, at = np.zeros((4, TEXTS + 1)), None, None
         for batch in batches:
-            for chunk, local, *blobs, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, found, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != at:
                     if at is not None:
                         yield from ended(sums, ids)
@@ -590,9 +633,9 @@ def score_texts(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", t
                 if named is not None:
                     ids = named
                     continue
-                texts = np.frombuffer(local, "<u2")
-                for total, blob, kind in zip(sums, blobs, ("<u4", "<u4", np.float64, np.float64), strict=True):
-                    total[texts] += np.frombuffer(blob, kind)
+                texts, *counts, base, score = parted(found)
+                for total, part in zip(sums, (widened(*counts[:2]), widened(*counts[2:]), base.view(np.float64), score.view("<f4")), strict=True):
+                    total[texts] += part
         if at is not None:
             yield from ended(sums, ids)
 
