@@ -25,6 +25,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tasks that small tables are still cut into.
+LEAST_TASKS = 8
+
+
+def few(df: DataFrame, rows: int, share: int) -> DataFrame:
+    """df in a task for each `share` of its rows, `rows` at most in all. Put behind a shuffle, it merges small partitions of that shuffle; none are added."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // share)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

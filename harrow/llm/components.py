@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import checkpoint
+from harrow.llm.common import checkpoint, few
 
-#: Links that one task reads from a checkpoint, about 4 MB.
+#: Links that one task works on, about 4 MB.
 SHARE = 250_000
 
 
@@ -17,31 +17,33 @@ def components(links: DataFrame) -> DataFrame:
     In each round every node hooks on to the smallest of itself and its neighbours, and hooks are followed to their ends, in
     as many joins as the logarithm of the longest chain. Links are then carried over to these ends, and those that became
     loops go; only nodes without a smaller neighbour are left. Nulls in links are left out; repeated links and loops do no
-    harm; without links there are no rows. Checkpoints are read by a task for each SHARE links; joins still shuffle.
+    harm; without links there are no rows. Every shuffle is read by a task for each SHARE links, or by its partitions if these are fewer.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = checkpoint(links.distinct())
-    tasks = max(1, -(-links.count() // SHARE))
+    size = links.count()
 
-    def cut(df: DataFrame) -> DataFrame:
-        return checkpoint(df).coalesce(tasks)
+    def small(df: DataFrame) -> DataFrame:
+        return few(df, 2 * size, SHARE)
 
-    links, labels = links.coalesce(tasks), None
-    while labels is None or not links.isEmpty():
+    links, labels = small(links), None
+    while labels is None or size:
         both = links.selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))")
-        step = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        step = checkpoint(small(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))))
         while True:
             far = step.select(F.col("a").alias("to"), F.col("to").alias("root"))
-            jumped = cut(step.join(far, "to").select("a", "to", "root"))
+            jumped = checkpoint(small(step.join(far, "to").select("a", "to", "root")))
             step = jumped.select("a", F.col("root").alias("to"))
             if jumped.where("root <> to").isEmpty():
                 break
         step = step.withColumnRenamed("to", "root")
         if labels is None:
-            labels = step.select(F.col("a").alias("id"), F.col("root").alias("component"))
+            labels, nodes = step.select(F.col("a").alias("id"), F.col("root").alias("component")), 2 * size
         else:
-            labels = cut(labels.join(step, F.col("component") == F.col("a"), "left").select("id", F.coalesce("root", "component").alias("component")))
-        moved = links.join(step, "a").select(F.col("root").alias("a"), "b")
-        moved = moved.join(step.select(F.col("a").alias("b"), F.col("root").alias("to")), "b").where("a <> to")
-        links = cut(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct())
+            joined = labels.join(step, F.col("component") == F.col("a"), "left").select("id", F.coalesce("root", "component").alias("component"))
+            labels = checkpoint(few(joined, nodes, SHARE))
+        moved = small(links.join(step, "a").select(F.col("root").alias("a"), "b"))
+        moved = small(moved.join(step.select(F.col("a").alias("b"), F.col("root").alias("to")), "b").where("a <> to"))
+        links = checkpoint(small(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct()))
+        size = links.count()
     return labels

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.llm.common import checkpoint, mix, parts, shards, table, texts_of, tokens_of
+from harrow.llm.common import checkpoint, few, mix, parts, shards, table, texts_of, tokens_of
 from harrow.llm.components import components
 
 #: Postings that a task packs together.
@@ -33,6 +33,8 @@ MOST, MARK = 65_535, 0xFFFFFFFF
 #: Bits of the parity filter, and the columns that hold them.
 BITS = 256
 WORDS = [f"bits{i}" for i in range(BITS // 64)]
+#: Rows of prefixes, and pairs of classes with their n-grams, that one task works on.
+PREFIXES, PAIRS = 200_000, 5_000
 #: Times that classes are held against one class for each n-gram before all remaining pairs are.
 ROUNDS = 4
 
@@ -257,8 +259,8 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
     return overlap_bound(a[:at], b[:half], depth - 1) + overlap_bound(a[at:], b[half:], depth - 1)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
+def verified(pairs: DataFrame, number: int, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes, `number` at most, whose sets are similar enough."""
     left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
 
@@ -272,8 +274,8 @@ def verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
                     good.append(possible and (num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= need)
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ka", "nb", "kb")
-    return both.mapInArrow(run, "a long, b long")
+    both = few(few(pairs.join(left, "a"), number, PAIRS).join(right, "b"), number, PAIRS)
+    return both.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a long, b long")
 
 
 def _possible(num: int, den: int):
@@ -294,10 +296,11 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(row.alias("p")).select("p.a", "p.b").distinct()
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of n-grams on which two or more parts meet, with the smallest of these parts."""
+def _mixed(rows: DataFrame, size: int) -> DataFrame:
+    """The rows, `size` at most, of n-grams on which two or more parts meet, with the smallest of these parts."""
     found = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    return checkpoint(rows.drop("least").join(checkpoint(found.select("key", "least")), "key"))
+    found = checkpoint(few(found.select("key", "least"), size, PREFIXES))
+    return checkpoint(few(rows.drop("least").join(found, "key"), size, PREFIXES))
 
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str = "text") -> DataFrame:
@@ -307,34 +310,39 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str
     """
     ranges = shards(docs.sparkSession)
     classes = checkpoint(candidates(shared_grams(postings(docs, size, ranges, text_col), ranges), ranges, num, den))
-    rows = _mixed(prefixes(classes, num, den).withColumn("part", F.col("sig")))
+    rows = checkpoint(prefixes(classes, num, den).withColumn("part", F.col("sig")))
+    size = rows.count()
+    rows = _mixed(few(rows, size, PREFIXES), size)
     value = ("sig", "n", "rest", "own", *WORDS, "part")
     tried, links = None, None
 
     def verify(joined: DataFrame) -> DataFrame:
         """Links among the pairs of joined that haven't been tried; tried and links are brought up to date."""
         nonlocal tried, links
-        pairs = _pairs(joined)
-        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = checkpoint(joined)
+        number = pairs.count()
+        if tried is not None:
+            pairs = checkpoint(few(pairs.join(tried, ["a", "b"], "left_anti"), number, PREFIXES))
         tried = pairs if tried is None else tried.union(pairs)
-        new = checkpoint(verified(pairs, classes, num, den))
+        new = checkpoint(verified(pairs, number, classes, num, den))
         links = new if links is None else links.union(new)
         return new
 
     for turn in range(ROUNDS):
         # the class with the fewest rarer n-grams is the one least changed; later rounds take others, so that parts meet in new places
         order = F.struct((F.col("n") - F.col("rest") if turn == 0 else F.xxhash64("sig", F.lit(turn))).alias("order"), *value)
-        heads = checkpoint(rows.groupBy(F.col("key").alias("head")).agg(F.min(order).alias("o")))
-        new = verify(rows.alias("e").join(heads, (F.col("key") == F.col("head")) & (F.col("e.part") != F.col("o.part")) & _possible(num, den)))
+        heads = checkpoint(few(rows.groupBy(F.col("key").alias("head")).agg(F.min(order).alias("o")), size, PREFIXES))
+        met = rows.alias("e").join(heads, (F.col("key") == F.col("head")) & (F.col("e.part") != F.col("o.part")) & _possible(num, den))
+        new = verify(few(_pairs(few(met, size, PREFIXES)), size, PREFIXES))
         if new.isEmpty():
             break
-        parts_of = checkpoint(components(links))
+        parts_of = components(links)
         rows = rows.join(parts_of, F.col("sig") == F.col("id"), "left").withColumn("part", F.coalesce("component", "part")).drop("id", "component")
-        rows = _mixed(checkpoint(rows))
+        rows = _mixed(checkpoint(few(rows, size, PREFIXES)), size)
     # of two different parts, one at least isn't the smallest of the n-gram
     other = rows.where("part <> least").select(F.struct(*value).alias("o"), F.col("key").alias("other"))
     crossing = ((F.col("e.part") == F.col("e.least")) | (F.col("e.part") < F.col("o.part"))) & (F.col("e.part") != F.col("o.part"))
-    verify(rows.alias("e").join(other, (F.col("e.key") == F.col("other")) & crossing & _possible(num, den)))
+    verify(_pairs(rows.alias("e").join(other, (F.col("e.key") == F.col("other")) & crossing & _possible(num, den))))
     return components(links).select(F.col("id").alias("sig"), "component")
 
 
