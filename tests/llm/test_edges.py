@@ -9,6 +9,7 @@ import math
 import urllib.parse
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -98,15 +99,84 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert enc.encode(text) == enc.exact(text).tobytes()
 
 
+@cache
+def reference_pieces():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(list(" ▁the ing12")), max_size=40))
+@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(list("  ▁the ing12\0\n")), max_size=40))
 def test_pieces_are_those_of_sentencepiece(text):
+    ours, theirs = pieces.compiled(PIECES), reference_pieces()
+    assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text)
+    assert ours.decode(ours.encode(text)) == text.replace("▁", " ")
+
+
+def test_pieces_of_runs_of_blanks():
+    """Pieces of blanks have one score, so the order of their merges is that of their places."""
     import sentencepiece
 
     ours, theirs = pieces.compiled(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    if "\0" not in text:
-        assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text)
-        assert ours.decode(ours.encode(text)) == text.replace("▁", " ")
+    texts = [a + " " * n + b for n in range(70) for a in ("", "a", "the", ".") for b in ("", "the", "x", "\n", ".", "s")]
+    assert [np.frombuffer(ours.encode(t), "<u4").tolist() for t in texts] == theirs.encode(texts)
+
+
+def small_model(path, kind, seed, with_bytes, rule, extra_blanks):
+    """A model file with random pieces over few letters."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as schema
+
+    rng = np.random.default_rng(seed)
+    model = schema.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, with_bytes
+    if rule:
+        model.normalizer_spec.CopyFrom(schema.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec)
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, not extra_blanks, True
+    for text, piece_kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256 if with_bytes else 0))):
+        model.pieces.add(piece=text, score=0.0, type=piece_kind)
+    letters = list("▁abcd1")
+    texts = dict.fromkeys(letters)
+    for _ in range(40):
+        x, y = (list(texts)[i] for i in rng.integers(0, len(texts), 2))
+        if len(x + y) < 8 and (kind == 1 or "▁" not in (x + y)[1:]):
+            texts[x + y] = None
+    for i, text in enumerate(texts):
+        model.pieces.add(piece=text, score=float(-i) if kind == 2 else float(-rng.integers(1, 900) / 64), type=1)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("with_bytes, rule, extra_blanks", [(True, "", True), (False, "", True), (True, "nmt_nfkc", False), (False, "nfkc", False)])
+def test_pieces_of_small_models(tmp_path, kind, with_bytes, rule, extra_blanks):
+    import sentencepiece
+
+    rng = np.random.default_rng(7)
+    for seed in range(2):
+        path = small_model(tmp_path / f"{seed}.model", kind, seed, with_bytes, rule, extra_blanks)
+        ours, theirs = pieces.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        for _ in range(100):
+            text = "".join(rng.choice(list("aaabbbccdd1 zé ﬁ①Å\u00a0\u3000\t" if rule else "aaabbbccdd1 zé  "), rng.integers(0, 25)))
+            assert ours.normaliser(text) == theirs.normalize(text).replace(" ", "▁") if rule else True
+            ids, want = np.frombuffer(ours.encode(text), "<u4").tolist(), theirs.encode(text)
+            if kind == pieces.BPE:
+                assert ids == want
+            else:  # of paths that weigh the same any will do
+                weigh = lambda ids: sum(-ours.score[i] if i != 0 else ours.worst for i in ids if i not in (ours.byte_pieces or []))
+                assert weigh(ids) == pytest.approx(weigh(want)) and ours.decode(ours.encode(text)) == theirs.decode(want)
+        assert ours.encode("") == b""
+
+
+def test_grammar_agrees_with_the_merges(tmp_path):
+    rng = np.random.default_rng(1)
+    models = [pieces.compiled(PIECES)] + [pieces.Transducer(small_model(tmp_path / f"{i}.model", pieces.BPE, i, True, "", True)) for i in range(4)]
+    for model in models:
+        ids = list(model.ids.values())
+        for a, b in rng.choice(ids, (500, 2)).tolist():
+            if not model.arc(pieces.START, a) and not model.arc(pieces.START, b):
+                assert (model.arc(a, b) == 0.0) == (model.merged(model.text[a] + model.text[b]) == [a, b])
 
 
 def test_pieces_of_rows(docs, none):
