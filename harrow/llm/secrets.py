@@ -1,7 +1,7 @@
 """Secrets in texts, also inside nested encodings.
 
 A worklist of layers starts with the text itself. Each layer is scanned, and every decoding of it that yields text becomes
-a further layer: percent escapes and Unicode escapes in place, base64 runs (over line breaks, at each alignment) by themselves.
+a further layer: percent escapes, Unicode escapes (also \\x, \\U and braces) and ASCII in UTF-16 in place, base64 runs (over line breaks, at each alignment) by themselves.
 Compressed data in these is unfolded and worked on as a stream of pieces, whatever its length.
 A layer keeps, for each of its characters, the span of the original text that it came from, so a finding at any depth maps
 back. Bytes that are no text don't spoil the text around them. A layer with the same text from the same place is not worked on twice, which ends cycles; the list is then at a fixpoint.
@@ -34,14 +34,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+#: An escape of one character: four or eight digits, digits in braces, or two digits.
+ONE = r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))"
+UNICODE = re.compile(re.sub(r"\((?!\?)", "(?:", ONE) + "(?:" + re.sub(r"\((?!\?)", "(?:", ONE) + ")*")
+ONE_ESCAPE = re.compile(ONE)
+#: ASCII in UTF-16, with either byte first.
+WIDE = re.compile("(?:[\t\n\r -~]\x00){8,}|(?:\x00[\t\n\r -~]){8,}")
 #: A run of base64, over line breaks too; it begins with 16 characters in a row or at the end of a line.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{1,15}[ \t]*[\r\n])[A-Za-z0-9+/_-]++(?:[ \t]*+[\r\n][ \t\r\n]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 #: How compressed data begins.
 HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 LEAST = 16  # characters of a run
 #: What decoded bytes need to hold for a finding or a further layer; most decodings at a wrong alignment hold none of it.
-NEEDED = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]")
+NEEDED = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|(?:[\t\n\r -~]\x00){8}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]")
 LONE = re.compile("[\ud800-\udfff]+")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: Compressed data is unfolded and scanned in pieces of so many bytes that overlap by so many; what is read of it at once, and the longest header.
@@ -51,8 +56,9 @@ SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18")  # a zstd frame without data
 IN_BYTES = {kind: re.compile(p.pattern.encode(), p.flags & ~re.UNICODE) for kind, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))}
 ZEROS = re.compile(rb"\x00*")
 BLANK = b" \t\r\n"
-ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
-PARTIAL = re.compile(rb"(?:%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3})?)\Z")
+ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|" + ONE.encode())
+PARTIAL = re.compile(rb"(?:%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3}|u\{[0-9A-Fa-f]{0,6}|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?)?)\Z")
+LONGEST = 10  # characters of an escape
 RUN = re.compile(BASE64.pattern.replace("[\\r\\n])", "(?:[\\r\\n]|\\Z))", 1).encode())
 MORE = re.compile(rb"(?:[A-Za-z0-9+/_-]++|[ \t]*+[\r\n][ \t\r\n]*+(?=[A-Za-z0-9+/_-]))*+")
 LISTED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("layer", T.StringType())]))
@@ -103,9 +109,28 @@ def percent_characters(run: str) -> list[tuple[str, int]] | None:
 
 
 def unicode_characters(run: str) -> list[tuple[str, int]] | None:
-    """Characters of a run of \\uXXXX, surrogate pairs joined, lone surrogates as they are; None if all are lone."""
-    text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
-    return None if LONE.fullmatch(text) else [(c, 6 * (1 + (ord(c) > 0xFFFF))) for c in text]
+    """Characters of a run of escapes with the number of source characters of each: surrogate pairs joined, lone surrogates and numbers that are no character as lone surrogates; None if all are."""
+    out: list[tuple[str, int]] = []
+    for m in ONE_ESCAPE.finditer(run):
+        code, size = int(next(filter(None, m.groups())), 16), len(m[0])
+        if 0xDC00 <= code < 0xE000 and out and "\ud800" <= out[-1][0] < "\udc00":
+            high, before = out.pop()
+            code, size = 0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00, before + size
+        out.append((chr(code) if code <= 0x10FFFF else "\udfff", size))
+    return None if LONE.fullmatch("".join(c for c, _ in out)) else out
+
+
+def wide_characters(run: str) -> list[tuple[str, int]]:
+    """Characters of a run of UTF-16, two source characters each."""
+    return [(c, 2) for c in run.replace("\x00", "")]
+
+
+def escaped(m: re.Match) -> bytes:
+    """What one escape in bytes stands for; itself, if it is no character."""
+    if m[1]:
+        return bytes([int(m[1], 16)])
+    code = int(next(filter(None, m.groups()[1:])), 16)
+    return chr(code).encode("utf-8", "surrogatepass") if code <= 0x10FFFF else m[0]
 
 
 def in_place(layer: Layer, name: str, pattern: re.Pattern, characters) -> Iterator[Layer]:
@@ -253,13 +278,13 @@ class Stream:
 
     def escapes(self, new: bytes, last: bool) -> None:
         before, text, self.partial = self.tail[: len(self.tail) - len(self.partial)], self.partial + new, b""
-        if not last and (m := PARTIAL.search(text, max(0, len(text) - 6))):
+        if not last and (m := PARTIAL.search(text, max(0, len(text) - LONGEST))):
             text, self.partial = text[: m.start()], m[0]
         if self.inner is None and (m := ESCAPE.search(text)):
             self.inner = Stream(f"{self.path}/{'percent' if m[0][:1] == b'%' else 'unicode'}", self.found, self.met)
             self.inner.feed(before)
         if self.inner is not None:
-            self.inner.feed(ESCAPE.sub(lambda m: bytes([int(m[1], 16)]) if m[1] else chr(int(m[2], 16)).encode("utf-8", "surrogatepass"), text))
+            self.inner.feed(ESCAPE.sub(escaped, text))
             if last:
                 self.inner.close()
 
@@ -395,8 +420,10 @@ def apart(layer: Layer, found: dict) -> Iterator[Layer]:
 def decodings(layer: Layer, found: dict) -> Iterator[Layer]:
     if "%" in layer.text:
         yield from in_place(layer, "percent", PERCENT, percent_characters)
-    if "\\u" in layer.text:
+    if "\\" in layer.text:
         yield from in_place(layer, "unicode", UNICODE, unicode_characters)
+    if "\x00" in layer.text:
+        yield from in_place(layer, "utf16", WIDE, wide_characters)
     yield from apart(layer, found)
 
 
@@ -421,7 +448,8 @@ def secrets_of(text: str) -> list[tuple[int, int, str, str]]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: <id_col>, secrets (array of kind, start, end, layer).
 
-    Null and empty texts have no secrets; repeated rows give repeated results; a null id stays null.
+    Null and empty texts have no secrets; repeated rows give repeated results; a null id stays null. Texts, and what they unfold to, may be
+    of any length. Raw deflate data, which has no header, is not unfolded, and UTF-16 not read within compressed data.
     Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("secrets", LISTED)])
@@ -448,7 +476,8 @@ def redacted(text: str, mark: str = "[REDACTED]") -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """docs with the secrets in their texts replaced and the number of characters put right; all other columns stay as they are.
 
-    Null texts stay null with their count; texts without secrets stay as they are.
+    Null texts stay null with their count; empty texts and those without secrets stay as they are, of any length. Repeated rows give
+    repeated results; overlapping findings are replaced as one; an empty table gives no rows.
     """
     names = docs.columns
     at = names.index(text_col)
