@@ -149,7 +149,8 @@ def layout(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataF
     """pieces with sequence_id and offset; all other columns are kept.
 
     Pieces are dealt out by a hash of all of their fixed-width columns, so neither a hot document nor null ids meet
-    in one task, and each task streams blocks of pieces through best_fit_decreasing().
+    in one task, and each task streams blocks of pieces, sorted by these columns, through best_fit_decreasing(). So a task that is
+    done again gives the same layout. An empty table gives no rows.
     """
     deal = [f.name for f in pieces.schema.fields if not isinstance(f.dataType, T.BinaryType)]
     schema = T.StructType([f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -178,7 +179,7 @@ def layout(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataF
         if rows:
             yield from place(held, base + opened)[0].to_batches(16_384)
 
-    return pieces.repartition(*[F.col(c) for c in deal]).mapInArrow(run, schema)
+    return pieces.repartition(*[F.col(c) for c in deal]).sortWithinPartitions(*deal).mapInArrow(run, schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +189,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Layout of docs with a digest of the ids of each piece in place of the ids."""
+    """Layout of docs (doc_id, text) with a digest of the ids of each piece in place of the ids.
+
+    Null and empty texts are one piece, the end id; rows with a null doc_id, and repeated rows, are packed each for itself; very long texts
+    are cut into full windows. Other columns of docs are not read, and an empty table gives no rows.
+    """
     pieces = encode_pieces(docs, tokenizer_path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return layout(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
