@@ -15,6 +15,11 @@ from harrow.llm.common import checkpoint, training_ids
 ROWS = 4096
 
 
+def cells_for(number: int) -> int:
+    """Cells for so many vectors, an eighth of the root: 3 for 500, 125 for a million. Dealing out and comparing then grow alike."""
+    return max(1, round(number**0.5 / 8))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of the rows with an id and a vector of finite components, not all 0, of the most common length (of several, the least)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harrow.llm.cells import ROWS, matrix, sample, unit, usable, within_cells
+from harrow.llm.cells import cells_for, matrix, sample, unit, usable, within_cells
 from harrow.llm.common import checkpoint, table
 from harrow.llm.language import Adam
 
-#: Bounds: vectors that the parts are learned on, parts, and queries that the number of probed parts is measured on.
-SAMPLE, PARTS, TRIALS = 8192, 256, 128
+#: Vectors that the parts are learned on (at least EACH for each part), and queries that the number of probed parts is chosen on.
+SAMPLE, EACH, TRIALS = 8192, 32, 128
 #: Recall on those queries for which parts are probed.
 RECALL = 0.96
 
@@ -153,18 +153,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     """query_id, rank, vec_id, score: the k nearest rows of vectors found for each row of queries, by cosine in double precision, a query's own id left out.
 
     Rows with a null id, or with a vector that is null, all 0, has null or non-finite components or another than the most
-    common length take no part on either side. Ties go to the smaller id; rows that repeat an id count once. Other columns are not read.
-    With fewer than k candidates all are given; empty tables give no rows. Every row of vectors is in exactly one part.
+    common length take no part on either side. Ties go to the smaller id; of rows that repeat an id the one with the least vector counts.
+    Other columns are not read. With fewer than k candidates all are given; empty tables give no rows. There are cells_for() parts, learned on a
+    sample of SAMPLE vectors, or EACH for each part if that is more; every row of vectors is in exactly one part.
     """
-    rows = checkpoint(usable(vectors, id_col, vec_col).dropDuplicates(["id"]))
-    asked = usable(queries, id_col, vec_col).dropDuplicates(["id"])
+    rows = checkpoint(usable(vectors, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec")))
+    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
     asked = checkpoint(asked.where(F.size("vec") == F.size(F.lit(rows.select("vec").first()["vec"])) if not rows.isEmpty() else F.lit(False)))
     number = rows.count()
-    parts = int(min(PARTS, max(1, number // (ROWS // 4))))
-    if parts > 1:
-        net = learn(sample(rows, SAMPLE), parts)
-    else:
-        net = None
+    parts = cells_for(number)
+    net = learn(sample(rows, max(SAMPLE, EACH * parts)), parts) if parts > 1 else None
 
     def routes(x: np.ndarray, many: int) -> np.ndarray:
         """The most probable parts of each vector, most probable first."""
@@ -193,6 +191,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             places = {q: {p: i for i, p in enumerate(order.tolist())} for q, order in zip(trial.column("id").to_pylist(), routes(matrix(trial.column("vec")), parts), strict=True)}
             depth = np.sort([places[r["query_id"]][r["cell"]] for r in where])
             probes = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+        sizes = {r["cell"]: r["count"] for r in homes.groupBy("cell").count().collect()}  # a row for each part
+        least = np.cumsum(sorted(sizes.get(p, 0) for p in range(parts)))
+        probes = max(probes, min(parts, int(np.searchsorted(least, k + 1)) + 1))  # enough for k neighbours, whichever parts they are
     found = within_cells(dealt(asked, probes), homes, lambda q, y: best_of(q, y, k), FOUND)
     return merged(found, k)
 

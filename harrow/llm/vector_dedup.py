@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.cells import ROWS, matrix, sample, unit, usable, within_cells
+from harrow.llm.cells import cells_for, matrix, sample, unit, usable, within_cells
 from harrow.llm.common import checkpoint, table
 from harrow.llm.components import components
 
 LEAST = 0.95
-#: Bounds: vectors that centroids are fitted on, and centroids.
-SAMPLE, CELLS = 16_384, 1024
+#: Vectors that centroids are fitted on: so many, and at least EACH for each centroid.
+SAMPLE, EACH = 16_384, 8
 
 
 def spherical_k_means(x: np.ndarray, k: int, turns: int = 12, seed: int = 3) -> np.ndarray:
@@ -58,13 +58,14 @@ def near_groups(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id"
     Rows link whose vectors have a cosine of `least` or more, in double precision. Rows with a null id, a vector that is
     null, all 0, or has null or non-finite components, or another than the most common length link with nothing and are
     kept. Rows that repeat an id count each for itself; equal cosines need no order. Other columns are not read. An empty table gives no rows.
+    There are cells_for() cells; centroids are fitted on a sample of SAMPLE vectors, or EACH for each cell if that is more, and every vector is dealt out.
     """
     ids = vectors.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(1), F.col(vec_col).cast("array<double>")).alias("h1"), F.xxhash64(F.lit(2), F.col(vec_col).cast("array<double>")).alias("h2"))
     rows = usable(vectors, id_col, vec_col).withColumn("h1", F.xxhash64(F.lit(1), "vec")).withColumn("h2", F.xxhash64(F.lit(2), "vec"))
     distinct = checkpoint(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")))
     number = distinct.count()
-    k = int(min(CELLS, max(1, number // ROWS)))
-    centroids = spherical_k_means(sample(distinct.select("id", "vec"), SAMPLE), k) if number else np.empty((0, 0))
+    k = cells_for(number)
+    centroids = spherical_k_means(sample(distinct.select("id", "vec"), max(SAMPLE, EACH * k)), k) if number else np.empty((0, 0))
     margin = np.sqrt(max(0.0, 2 - 2 * least))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
