@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="checkpoints-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written in a new place of the shared folder, read again."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -7,7 +7,6 @@ in numpy by backpropagation through time, on windows of a bounded, stratified sa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,12 +20,16 @@ from harrow.llm.common import fold_of, parts, table, texts_of, training_ids
 
 WINDOW = 64
 HIDDEN = 8
-#: Bounds of the training sample: documents of each language, and windows of each document.
+#: Bounds of the training sample: documents of each language, and windows of each document, from places all over its text.
 DOCUMENTS, WINDOWS = 384, 4
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether text has a character of a category of letters. Numerals such as a half, a superscript or a Roman number are none."""
+    return any(map(str.isalpha, text))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -173,7 +176,12 @@ def train(windows: list[bytes], languages: list[str], hidden: int = HIDDEN, step
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS) -> Tagger | None:
-    """A network for the rows of docs with id, text and language; at most `documents` of each language are used. None without any."""
+    """A network for the rows of docs with id, text and language. None without any.
+
+    Training is on a bounded sample: at most `documents` documents of each language, and WINDOWS windows of WINDOW characters of
+    each, from places that a hash spreads over the whole text. Of rows that repeat an id the one with the least language
+    and windows counts. Nothing depends on the order of the rows.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     chosen = training_ids(rows.where(F.col("text").isNotNull()).select("id", "lang"), "lang", documents)
     ranks = [r["rank"] for r in chosen.select("rank").distinct().collect()]  # documents x languages at most
@@ -181,8 +189,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     span = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substr("text", (F.pmod(F.xxhash64("id", i), span) + 1).cast("int"), F.lit(WINDOW)))
-    picked = rows.where(F.col("lang").isNotNull() & F.xxhash64("id", F.lit(7)).isin(ranks)).select("lang", "id", F.array_distinct(cut).alias("windows"))
-    found = sorted((r["lang"], r["id"], w) for r in picked.collect() for w in r["windows"] if LETTER.search(w))
+    picked = rows.where(F.col("lang").isNotNull() & F.xxhash64("id", F.lit(7)).isin(ranks)).select("lang", "id", F.array_sort(F.array_distinct(cut)).alias("windows"))
+    picked = picked.groupBy("id").agg(F.min(F.struct("lang", "windows")).alias("row"))  # of rows that repeat an id one counts, so the sample is bounded
+    found = sorted((r["row"]["lang"], r["id"], w) for r in picked.collect() for w in r["row"]["windows"] if has_letter(w))
     return train([w.encode() for *_, w in found], [lang for lang, *_ in found]) if found else None
 
 
@@ -201,7 +210,7 @@ def predict(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_
         for batch in batches:
             for part in parts(batch):
                 text = part.column(part.num_columns - 1)
-                known = [bool(net) and x.is_valid and LETTER.search(x.as_py()) is not None for x in text]
+                known = [bool(net) and x.is_valid and has_letter(x.as_py()) for x in text]
                 p = net.pooled(texts_of(text)) if net else np.zeros((len(text), 1))
                 best = p.argmax(axis=1)
                 names = [net.languages[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
@@ -236,9 +245,12 @@ def threshold(held_out: DataFrame, model: Tagger | None, least: float = LEAST) -
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs whose language is recognised, with docs' columns."""
+    """The rows of docs whose language is recognised, with docs' columns and values, whatever their names.
+
+    Rows with a null or empty text, or one without a letter, go; so do all if nothing can be learned. Rows with a null doc_id or
+    language are judged like others. Repeated rows stay or go together. An empty table gives no rows.
+    """
     model = fit(docs.where(fold_of("doc_id", 3) != 1))
     lowest = threshold(docs.where(fold_of("doc_id", 3) == 1), model, least)
-    copy = docs.withColumn("\x00copy", F.col("text"))
-    judged = predict(copy, model, text_col="\x00copy")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= lowest)).select(*docs.columns)
+    judged = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), model)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= lowest)).select("row.*")

@@ -190,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < ones < total:
         return Model(vectors, None, prior)
     picked = docs.select(F.xxhash64(id_col, F.lit(7)).alias("rank"), F.col(text_col).cast("string").alias("text")).where(F.col("rank").isin(list(stood)))
+    picked = picked.groupBy("rank").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # of rows that repeat an id one counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +232,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with docs' columns."""
+    """The rows of docs whose score reaches the threshold, with docs' columns and values, whatever their names.
+
+    Null texts count as empty and are judged by the score of no words; rows with a null doc_id are judged like others. Repeated rows
+    stay or go together. Without labels of both kinds every row has the share of label 1 for its score. An empty table gives no rows.
+    """
     model = fit(docs, labels.where(fold_of("doc_id", 4) != 2))
-    judged = score(docs.withColumn("\x00copy", F.col("text")), model, "\x00copy", threshold)
-    return judged.where(F.col("predicted") == 1).select(*docs.columns)
+    judged = score(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), model, threshold=threshold)
+    return judged.where(F.col("predicted") == 1).select("row.*")
