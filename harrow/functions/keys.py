@@ -44,14 +44,13 @@ def hash_bucket(key: Column, buckets: int) -> Column:
 
 
 def trie_bucket(key: Column, buckets: int) -> Column:
-    """Bucket by the first two bytes of a key."""
-    return F.pmod(byte_at(key, 0) * 53 + byte_at(key, 1), F.lit(buckets)).cast("int")
+    """Bucket by the first two bytes of a key, taken as one number."""
+    return F.pmod(byte_at(key, 0) * 256 + byte_at(key, 1), F.lit(buckets)).cast("int")
 
 
-def single(value: Column) -> Column:
-    return value.cast("float")
+def double_sum(value: Column) -> Column:
+    """The sum in double precision, whatever the type of the amounts. NaN and infinities carry over; nulls count for nothing.
 
-
-def exact_sum(value: Column) -> Column:
-    """The sum of amounts with two decimals, exact in any order, as a double."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
+    The order of adding isn't fixed, so the last digits of two runs may differ.
+    """
+    return F.sum(value.cast("double"))

@@ -9,7 +9,7 @@ import threading
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,25 @@ class Counters:
         return {name: o.get[name] for name, o in self.observed.items()}
 
 
+class Progress:
+    """How many of the chunks have been read, while a plan runs: target, and progress by the tasks done of the stage with a task for each chunk."""
+
+    def __init__(self, spark: SparkSession, target: int):
+        self.tracker, self.target, self.done = spark.sparkContext.statusTracker(), target, 0
+
+    def __call__(self) -> dict[str, int]:
+        for stage in self.tracker.getActiveStageIds():
+            info = self.tracker.getStageInfo(stage)
+            if info is not None and info.numTasks == self.target:
+                self.done = max(self.done, info.numCompletedTasks)
+        return {"target": self.target, "progress": self.done}
+
+    def ended(self, counters: Counters) -> dict[str, int]:
+        """All chunks read, and the counters of rows read and of groups."""
+        self.done = self.target
+        return self() | counters.values()
+
+
 @dataclass
 class Usage:
     user_s: float
@@ -63,7 +82,7 @@ class Report:
 
 
 class Sampler:
-    """Samples of usage and of the progress given by `progress`, one JSON line each, until closed."""
+    """Samples of usage and of the progress given by `progress`, one JSON line each, until closed; and one more then, with what `progress` says at the end."""
 
     def __init__(self, path: str, every: float = 1.0, progress=dict):
         self.path, self.every, self.progress = path, every, progress
@@ -73,9 +92,11 @@ class Sampler:
         began = time.monotonic()
         with open(self.path, "w") as file:
             while True:
+                last = self.ended.is_set()
                 print(json.dumps({"s": round(time.monotonic() - began, 3), **asdict(usage()), **self.progress()}), file=file, flush=True)
-                if self.ended.wait(self.every):
+                if last:
                     break
+                self.ended.wait(self.every)
 
     def __enter__(self) -> Sampler:
         self.thread.start()

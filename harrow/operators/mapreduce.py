@@ -51,9 +51,13 @@ def reduce_pairs(pairs: DataFrame, reducer: Callable[[Column], Column]) -> DataF
     return pairs.groupBy("key").agg(reducer(F.col("value")).alias("value"))
 
 
-def map_reduce(rows: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer: Callable, schema: str, partitions: int | None = None) -> DataFrame:
-    """(key, value) of the reducer's fold over all pairs that mapper gives for each row. schema: "key <type>, value <type>"."""
-    kind = T._parse_datatype_string(schema)
+def map_reduce(rows: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reducer: Callable, schema: str, partitions: int | None = None, workers: int | None = None) -> DataFrame:
+    """(key, value) of the reducer's fold over all pairs that mapper gives for each row. schema: "key <type>, value <type>".
+
+    partitions: result maps; workers: tasks that map, at most. A mapping task passes on each key once for every HELD keys, so a
+    key that most rows have comes to its partition a few times from each task, not once for each row.
+    """
+    kind = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def packed(found: dict) -> pa.RecordBatch:
@@ -90,14 +94,14 @@ def map_reduce(rows: DataFrame, mapper: Callable[[dict], Iterable[tuple]], reduc
             out[last] = held
             yield packed(out)
 
-    pairs = rows.mapInArrow(first, kind)
+    pairs = (rows.coalesce(workers) if workers else rows).mapInArrow(first, kind)
     pairs = pairs.repartition(partitions, "key") if partitions else pairs.repartition("key")
     return pairs.sortWithinPartitions("key").mapInArrow(runs, kind)
 
 
-def map_par_reduce(rows: DataFrame, mapper: Callable, reducer: Callable, schema: str, partitions: int) -> DataFrame:
+def map_par_reduce(rows: DataFrame, mapper: Callable, reducer: Callable, schema: str, partitions: int, workers: int | None = None) -> DataFrame:
     """map_reduce() into so many result maps; column partition says which."""
-    return map_reduce(rows, mapper, reducer, schema, partitions).withColumn("partition", F.spark_partition_id())
+    return map_reduce(rows, mapper, reducer, schema, partitions, workers).withColumn("partition", F.spark_partition_id())
 
 
 def fold_values(values: Iterable, reducer: Callable):

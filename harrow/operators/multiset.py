@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.keys import double_sum
+
 
 def consolidate(rows: DataFrame) -> DataFrame:
     """Equal rows as one, weights added; rows whose weights add up to 0 are gone."""
@@ -13,11 +15,10 @@ def consolidate(rows: DataFrame) -> DataFrame:
 
 
 def weighted_sums(rows: DataFrame) -> DataFrame:
-    """key, total (sum of value x weight) and weight of rows (key, value, weight); keys with a weight of 0 are gone."""
-    exact = F.sum(F.col("value").cast("decimal(18,2)") * F.col("weight").cast("decimal(10,0)"))
-    return rows.groupBy("key").agg(exact.cast("double").alias("total"), F.sum("weight").alias("weight")).where("weight <> 0")
+    """key, total (sum of value x weight, in double precision) and weight of rows (key, value, weight); keys with a weight of 0 are gone."""
+    return rows.groupBy("key").agg(double_sum(F.col("value").cast("double") * F.col("weight")).alias("total"), F.sum("weight").alias("weight")).where("weight <> 0")
 
 
 def weighted_groups(rows: DataFrame) -> DataFrame:
     """One row: n_groups and total_revenue over weighted_sums()."""
-    return weighted_sums(rows).agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("total").cast("decimal(18,2)")).cast("double").alias("total_revenue"))
+    return weighted_sums(rows).agg(F.count(F.lit(1)).alias("n_groups"), double_sum(F.col("total")).alias("total_revenue"))

@@ -1,6 +1,7 @@
 """Ways of carrying out one grouped sum. All give the same rows (key, total); they differ in what is combined and shuffled.
 
-The sum is part of every result, so that no plan can leave it out by only counting groups.
+Sums are in double precision, so the order of adding shows in their last digits. The sum is part of every result, so that no
+plan can leave it out by only counting groups.
 """
 
 from __future__ import annotations
@@ -9,51 +10,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from harrow.functions.keys import exact_sum, hash_bucket, trie_bucket
+from harrow.functions.keys import double_sum, hash_bucket, trie_bucket
 
 BUCKETS = 256
 
 
 def hash_one(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Partial sums, then one final map: a single partition holds the result."""
-    sums = pairs.groupBy("key").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("part"))
-    return sums.coalesce(1).select("key", F.col("part").cast("double").alias("total"))
+    """Sums on both sides of a shuffle by key, then one final map: a single partition holds the result. Only the result goes through one task."""
+    return hashes_partial(pairs).repartition(1)
 
 
 def hashes(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Raw rows go to their bucket and are summed there only. Of use where nearly every key is seen once."""
-    return pairs.repartition(buckets, "key").groupBy("key").agg(exact_sum(F.col("value")).alias("total"))
+    return pairs.repartition(buckets, "key").groupBy("key").agg(double_sum(F.col("value")).alias("total"))
 
 
 def hashes_partial(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Sums on both sides of the shuffle: what is moved is at most a row for each key and task. The choice for skewed keys and for scale."""
-    return pairs.groupBy("key").agg(exact_sum(F.col("value")).alias("total"))
+    return pairs.groupBy("key").agg(double_sum(F.col("value")).alias("total"))
 
 
 def tries(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Partial sums by key, dealt out by the first two bytes of the key, so that keys that share them lie together; then final sums."""
-    bucket = trie_bucket(F.col("key"), buckets)
-    parts = pairs.groupBy("key").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("part"))
-    return parts.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("key").select("key", F.col("part").cast("double").alias("total"))
+    """Rows are dealt out by the first two bytes of the key, so that keys that share them lie together, and are summed where they lie: one shuffle."""
+    dealt = pairs.withColumn("bucket", trie_bucket(F.col("key"), buckets)).repartition(buckets, "bucket")
+    return dealt.groupBy("bucket", "key").agg(double_sum(F.col("value")).alias("total")).select("key", "total")
 
 
 def exchange(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The dataflow form: raw rows exchanged by the hash of the key, then summed, in as many partitions as there are workers."""
     workers = pairs.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(workers, "key").groupBy("key").agg(exact_sum(F.col("value")).alias("total"))
+    return pairs.repartition(workers, "key").groupBy("key").agg(double_sum(F.col("value")).alias("total"))
 
 
 def sort(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows sorted by key within partitions, equal neighbours joined by a running sum of which the last row of each key stays.
+    """Rows sorted by key within partitions and equal neighbours merged. Sorting spills and merging holds one group, so memory doesn't grow with keys.
 
-    Sorting spills, and a running sum holds one row, so memory doesn't grow with keys or groups. (Spark drops a plain sort below a sum.)
+    Spark merges sorted rows where an aggregate's state is of no fixed width, as that of the key's maximum is; the sum alone would be hashed.
     """
-    run = Window.partitionBy("key").orderBy("value")
-    total = F.sum(F.col("value").cast("decimal(18,2)")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = pairs.repartition(buckets, "key").select("key", total.alias("total"), F.lead(F.lit(1)).over(run).isNull().alias("last"))
-    return rows.where("last").select("key", F.col("total").cast("double").alias("total"))
+    sums = pairs.repartition(buckets, "key").groupBy("key").agg(F.max("key").alias("same"), double_sum(F.col("value")).alias("total"))
+    return sums.select(F.col("same").alias("key"), "total")
 
 
 def weighted(pairs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -75,8 +71,8 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def aggregate(pairs: DataFrame, strategy: str = "hashes", partial: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """(key, total) of pairs (key, value). partial has a meaning for `hashes` only."""
+def aggregate(pairs: DataFrame, strategy: str = "hashes", partial: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """(key, total) of pairs (key, value). partial, to combine before the shuffle, has a meaning for `hashes` only."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     name = "hashes_partial" if strategy == "hashes" and partial else strategy
@@ -84,16 +80,16 @@ def aggregate(pairs: DataFrame, strategy: str = "hashes", partial: bool = False,
 
 
 def group_count(sums: DataFrame) -> DataFrame:
-    """One row: n_groups and the sum of all totals, which keeps the totals in the plan. Amounts have two decimals, so that sum is exact too."""
-    return sums.agg(F.count(F.lit(1)).alias("n_groups"), exact_sum(F.col("total")).alias("total_revenue"))
+    """One row: n_groups and the sum of all totals, which keeps the totals in the plan."""
+    return sums.agg(F.count(F.lit(1)).alias("n_groups"), double_sum(F.col("total")).alias("total_revenue"))
 
 
-def bucket_sizes(sums: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def bucket_sizes(sums: DataFrame, buckets: int = BUCKETS, bucket: Callable = hash_bucket) -> DataFrame:
     """How evenly keys fall on buckets: buckets in use, least, most and mean number of keys."""
-    sizes = sums.groupBy(hash_bucket(F.col("key"), buckets).alias("bucket")).count()
+    sizes = sums.groupBy(bucket(F.col("key"), buckets).alias("bucket")).count()
     return sizes.agg(F.count(F.lit(1)).alias("buckets"), F.min("count").alias("least"), F.max("count").alias("most"), F.avg("count").alias("mean"))
 
 
-def by_partition(sums: DataFrame) -> DataFrame:
-    """The result with the partition that each row is in."""
-    return sums.withColumn("partition", F.spark_partition_id())
+def by_partition(sums: DataFrame, buckets: int = BUCKETS, bucket: Callable = hash_bucket) -> DataFrame:
+    """The result in as many partitions as buckets, with the number of the partition that each row is in."""
+    return sums.repartitionById(buckets, bucket(F.col("key"), buckets)).withColumn("partition", F.spark_partition_id())

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 # Names of encodings and compressors as they stand in format names and paths.
 ENCODINGS = ("text", "csv", "json", "bincode", "cbor", "rmp", "cap", "pcap", "mcap", "pbuf", "columns", "parquet", "orc")
@@ -59,3 +62,11 @@ def shard(items: list, index: int, peers: int) -> list:
     if not 0 <= index < peers:
         raise ValueError(f"shard {index} of {peers}")
     return items[index::peers]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return posixpath.join(root or tempfile.gettempdir(), f"harrow-{uuid.uuid4().hex}")

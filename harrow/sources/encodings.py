@@ -68,10 +68,14 @@ def _checked(row: list, schema: T.StructType) -> tuple:
     return tuple(out)
 
 
+def _csv_field(value) -> str:
+    """A field, quoted where it must be: empty texts too, so that they differ from nulls, and a mark that a reader might take for the file's byte order."""
+    text = str(value)
+    return '"' + text.replace('"', '""') + '"' if not text or text[0] == "\ufeff" or any(c in text for c in ',"\r\n') else text
+
+
 def csv_encode(rows: Rows, schema: T.StructType) -> bytes:
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerows(rows)
-    return out.getvalue().encode()
+    return "".join(",".join(map(_csv_field, row)) + "\n" for row in rows).encode()
 
 
 def csv_decode(data: bytes, schema: T.StructType) -> Iterator[tuple]:

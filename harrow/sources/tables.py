@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from harrow.schemas import schema_of
 from harrow.sources import catalog
@@ -89,6 +90,32 @@ class ChunkReader(DataSourceReader):
             yield batch([[r[i] for r in held] for i in wanted])
 
 
+class ChunkStream(DataSourceStreamReader):
+    """Chunks as a stream, in the order of their names: `first` of them (by default all that are there) in the first epoch, then one in each, or what has arrived.
+
+    An offset is a number of chunks, so later chunks must have later names.
+    """
+
+    def __init__(self, schema: T.StructType, options: dict):
+        self.chunks, self.first, self.given = ChunkReader(schema, options), int(options.get("first", 0)), 0
+
+    def initialOffset(self) -> dict:
+        return {"chunks": 0}
+
+    def latestOffset(self) -> dict:
+        there = len(self.chunks.partitions())
+        if self.first:
+            self.given = min(there, self.given + 1 if self.given else self.first)
+        return {"chunks": self.given if self.first else there}
+
+    def partitions(self, start: dict, end: dict) -> list[Chunk]:
+        self.given = max(self.given, end["chunks"])
+        return self.chunks.partitions()[start["chunks"] : end["chunks"]]
+
+    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+        return self.chunks.read(partition)
+
+
 class ChunkWriter(DataSourceArrowWriter):
     """A chunk for each task with rows. Chunks are written under another name and take their own when all tasks are done."""
 
@@ -127,14 +154,15 @@ class ChunkWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, root = catalog.filesystem(self.options["path"])
         system.create_dir(root, recursive=True)
-        if self.overwrite:
-            for old in catalog.chunks(self.options["path"], self.format.name):
-                (system.delete_dir if self.format.encoding == "columns" else system.delete_file)(old)
-        stem = "" if self.overwrite else f"{self.job}-"
+        old = catalog.chunks(self.options["path"], self.format.name) if self.overwrite else []
         for i, message in enumerate(sorted((m.path for m in messages if m and m.path))):
-            system.move(message, posixpath.join(root, f"{stem}{i:06d}.{self.format.extension}"))
+            system.move(message, posixpath.join(root, f"{self.job}-{i:06d}.{self.format.extension}"))
+        for path in old:  # only now: if this ends halfway, old and new chunks are there, and none is lost
+            (system.delete_dir if self.format.encoding == "columns" else system.delete_file)(path)
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
+        """What attempts of this job left that failed or came second goes."""
         system, root = catalog.filesystem(self.options["path"])
         for i in system.get_file_info(catalog.fs.FileSelector(root, allow_not_found=True)):
             if i.base_name.startswith(f".{self.job}-"):
@@ -153,10 +181,28 @@ class ChunkSource(DataSource):
     def reader(self, schema: T.StructType) -> ChunkReader:
         return ChunkReader(schema, dict(self.options))
 
+    def streamReader(self, schema: T.StructType) -> ChunkStream:
+        return ChunkStream(schema, dict(self.options))
+
     def writer(self, schema: T.StructType, overwrite: bool) -> ChunkWriter:
         return ChunkWriter(dict(self.options), overwrite)
 
 
+#: A quoted field may hold line breaks, so a file is one task, as a chunk is everywhere else. Spark takes an empty field for null. The separator is
+#: given, or Spark would guess it from what is quoted too; of lines that end in two characters the last field, a number, has one.
+LAST = "duration"
+CSV = {"header": False, "multiLine": True, "lineSep": "\n", "quote": '"', "escape": '"', "emptyValue": "", "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
+
+
+def _whole(field: T.StructField) -> Column:
+    """A column of a CSV file as the table has it, without nulls: an empty field is an empty text, and no number."""
+    value, text = F.col(field.name), isinstance(field.dataType, T.StringType)
+    if field.name == LAST:
+        value = F.rtrim(value, F.lit("\r")).cast(field.dataType)
+    missing = F.lit("") if text else F.raise_error(F.lit(f"an empty field in {field.name}")).cast(field.dataType)
+    return F.coalesce(value, missing).alias(field.name)
+
+
 def read_table(spark: SparkSession, path: str, table: str, fmt: str, columns: list[str] | None = None, chunks: int | None = None, shard: tuple[int, int] | None = None, mode: str = "strict") -> DataFrame:
     """The table in the folder path. chunks: the first so many only, by name; shard: (index, peers); columns: those wanted, all by default."""
     kind, schema = Format.parse(fmt), schema_of(table)
@@ -167,10 +213,12 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str, columns: li
         if found is not None and not found:
             return spark.createDataFrame([], schema).select(*wanted)
         system = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+        if kind.encoding in ("text", "csv"):
+            schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == LAST else f for f in schema.fields])
         reader = spark.read.schema(schema).option("mode", "PERMISSIVE" if mode == "permissive" else "FAILFAST")
         encoding = "csv" if kind.encoding == "text" else kind.encoding
-        options = {"header": False, "multiLine": False, "quote": '"', "escape": '"'} if encoding == "csv" else {}
-        return reader.options(**options).format(encoding).load([system + p for p in found] if found is not None else path).select(*wanted)
+        rows = reader.options(**(CSV if encoding == "csv" else {})).format(encoding).load([system + p for p in found] if found is not None else path)
+        return rows.select(*[_whole(schema_of(table)[c]) for c in wanted]) if encoding == "csv" else rows.select(*wanted)
     spark.dataSource.register(ChunkSource)
     reader = spark.read.format("harrow").options(path=path, table=table, format=fmt, mode=mode, columns=",".join(wanted))
     if chunks is not None:
@@ -180,6 +228,17 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str, columns: li
     return reader.load()
 
 
+def stream_table(spark: SparkSession, path: str, table: str, fmt: str, columns: list[str] | None = None, first: int | None = None, chunks: int | None = None) -> DataFrame:
+    """The chunks of a table as a stream, of any format but parquet and orc (which Spark streams itself): `first` chunks in the first epoch, then one in each; without first, what has arrived."""
+    if Format.parse(fmt).encoding in ("parquet", "orc"):
+        raise ValueError(f"{fmt} is streamed by Spark's own reader")
+    spark.dataSource.register(ChunkSource)
+    reader = spark.readStream.format("harrow").options(path=path, table=table, format=fmt, columns=",".join(columns or schema_of(table).names))
+    for name, value in (("first", first), ("chunks", chunks)):
+        reader = reader.option(name, value) if value is not None else reader
+    return reader.load()
+
+
 def write_table(df: DataFrame, path: str, table: str, fmt: str, mode: str = "overwrite") -> None:
     """Write the columns of a table; the old chunks go in mode overwrite. The number of chunks is that of df's partitions."""
     kind, schema = Format.parse(fmt), schema_of(table)

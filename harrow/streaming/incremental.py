@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from harrow.functions.keys import double_sum
 from harrow.operators.multiset import weighted_sums
 
 
@@ -53,7 +54,7 @@ def keep_sums(rows: DataFrame, checkpoint: str, on_epoch: Callable[[Epoch], None
     def settled(sums: DataFrame, number: int) -> None:
         if sink:
             sums.write.mode("overwrite").parquet(sink)
-        row = sums.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("total").cast("decimal(18,2)")).cast("double").alias("total")).first()
+        row = sums.agg(F.count(F.lit(1)).alias("n"), double_sum(F.col("total")).alias("total")).first()
         epoch = Epoch(number, time.monotonic() - began, row["n"], row["total"] or 0.0)
         state.epochs.append(epoch)
         if on_epoch:
@@ -64,6 +65,21 @@ def keep_sums(rows: DataFrame, checkpoint: str, on_epoch: Callable[[Epoch], None
     return state
 
 
+def keep_changes(rows: DataFrame, checkpoint: str, sink: str, available_now: bool = False) -> Upkeep:
+    """Weighted sums of a stream (key, value, weight); only the groups that an epoch changed are written, to the folder epoch=<number> of sink.
+
+    A group that is taken back whole comes with a weight of 0, so a reader can follow the result without the other groups. An epoch
+    that is done again after a failure overwrites its own folder.
+    """
+
+    def changed(sums: DataFrame, number: int) -> None:
+        sums.write.mode("overwrite").parquet(f"{sink}/epoch={number}")
+
+    sums = rows.groupBy("key").agg(double_sum(F.col("value").cast("double") * F.col("weight")).alias("total"), F.sum("weight").alias("weight"))
+    writer = sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(changed)
+    return Upkeep((writer.trigger(availableNow=True) if available_now else writer).start())
+
+
 def keep_count(keys: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
     """The number of distinct keys only, without sums: cheaper, and no answer to retractions. The result is the in-memory table `name`."""
     counts = keys.select("key").dropDuplicates(["key"]).groupBy().count()

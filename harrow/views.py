@@ -1,4 +1,4 @@
-"""Stand-ins for the two record types on the driver's tables, by plain arithmetic."""
+"""Stand-ins for the two record types on the driver's tables, by plain arithmetic. Amounts have up to five decimals; an eighth is exact in binary."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 UV = """
 select concat(cast(100 + user_id % 100 as {str}), '.', cast(event_id % 7 as {str}), '.', cast(event_id % 11 as {str}), '.',
-  cast(10 + (event_id % 13) * 17 as {str})) as source_ip, value as ad_revenue, event_id, user_id
+  cast(10 + (event_id % 13) * 17 as {str})) as source_ip, value / 8 as ad_revenue, event_id, user_id
 from events"""
 RK = "select url, page_id % 50 as pagerank, page_id from pages"
 RK_WIDE = "select url, page_id * 37 % 3000 as pagerank, page_id from pages"
-WEIGHTED = "select source_ip, ad_revenue, case when event_id % 5 = 0 then -1 else 1 end as weight from uv union all select source_ip, ad_revenue, 1 from uv where event_id % 10 = 0"
 UV_SQL = f"({UV.format(str='varchar')})"
 
 

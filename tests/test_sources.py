@@ -1,5 +1,6 @@
 import gzip
 import struct
+import tempfile
 import zlib
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from harrow.schemas import RANKINGS, USERVISITS
 from harrow.sources import catalog
-from harrow.sources.codecs import compress, decompress, masked_crc
+from harrow.sources.codecs import compress, crc32c, decompress, masked_crc
 from harrow.sources.encodings import RECORDS, Corrupt, column_encode, packed, unpacked
 from harrow.sources.tables import read_table, repack, write_table
 
@@ -44,11 +45,57 @@ visits = st.lists(st.tuples(text, text, text, st.floats(width=32, allow_nan=Fals
 @given(visits)
 def test_any_record_returns(rows):
     for name, (encode, decode) in RECORDS.items():
-        if name not in ("csv", "text"):
-            assert list(decode(encode(rows, USERVISITS), USERVISITS)) == rows
-            if rows and name != "json":
-                with pytest.raises(Corrupt):
-                    list(decode(encode(rows, USERVISITS)[:-1], USERVISITS))
+        assert list(decode(encode(rows, USERVISITS), USERVISITS)) == rows
+        if rows and name not in ("csv", "text", "json"):
+            with pytest.raises(Corrupt):
+                list(decode(encode(rows, USERVISITS)[:-1], USERVISITS))
+
+
+odd = st.text(st.sampled_from(list('a,"\'\r\n \\#\ufeff\u2028é\t\x00')), max_size=6)
+odd_visits = st.lists(st.tuples(odd, odd, odd, st.floats(width=32, allow_nan=False), odd, odd, odd, odd, st.integers(0, 2**63 - 1)), min_size=1, max_size=5)
+
+
+@settings(max_examples=8, deadline=None)
+@given(odd_visits)
+def test_any_row_of_text_files_returns(spark, rows):
+    """Tables that Spark reads itself."""
+    for fmt in ("csv", "json"):
+        with tempfile.TemporaryDirectory() as folder:
+            write_table(spark.createDataFrame(rows, USERVISITS).coalesce(1), folder, "uservisits", fmt)
+            assert list(map(tuple, read_table(spark, folder, "uservisits", fmt).collect())) == rows
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/a.deflate", "wb") as file:
+            file.write(zlib.compress(RECORDS["text"][0](rows, USERVISITS)))
+        assert list(map(tuple, read_table(spark, folder, "uservisits", "text-deflate").collect())) == rows
+
+
+def test_empty_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'"",3,4\n,5,6\n')
+    assert [tuple(r) for r in read_table(spark, str(tmp_path), "rankings", "csv").collect()] == [("", 3, 4), ("", 5, 6)]
+    (tmp_path / "a.csv").write_bytes(b"u,3,4\r\nv,5,6\r\n")
+    assert [tuple(r) for r in read_table(spark, str(tmp_path), "rankings", "csv").collect()] == [("u", 3, 4), ("v", 5, 6)]
+    (tmp_path / "a.csv").write_bytes(b"u,,4\n")
+    with pytest.raises(Exception, match="an empty field in pagerank"):
+        read_table(spark, str(tmp_path), "rankings", "csv").collect()
+
+
+def test_writing_again_leaves_only_the_new_chunks(spark, tmp_path):
+    for n in (5, 3):
+        write_table(spark.createDataFrame([(str(i), i, i) for i in range(n)], RANKINGS).repartition(2), str(tmp_path / "t"), "rankings", "cbor")
+        assert read_table(spark, str(tmp_path / "t"), "rankings", "cbor").count() == n
+    write_table(spark.createDataFrame([("x", 1, 1)], RANKINGS), str(tmp_path / "t"), "rankings", "cbor", "append")
+    assert read_table(spark, str(tmp_path / "t"), "rankings", "cbor").count() == 4 and not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=2000))
+def test_checksums(data):
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    assert crc32c(data) == crc ^ 0xFFFFFFFF and crc32c(b"123456789") == 0xE3069283
 
 
 @settings(max_examples=60, deadline=None)
