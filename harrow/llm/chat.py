@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import checkpoint, table
+from harrow.llm.common import checkpoint, table, written
 
 # JSON types of a schema, and the beginnings of the names that a variant's type has for them.
 TYPES = {
@@ -32,19 +32,19 @@ def levels(calls: DataFrame) -> DataFrame:
     """
     known = calls.select("conv", "id").where("conv is not null and id is not null").distinct()
     edges = calls.select("conv", "id", F.explode("depends").alias("to")).where("to is not null").distinct()
-    step = checkpoint(edges.join(known.withColumnRenamed("id", "to"), ["conv", "to"]).select("conv", "id", "to"))
+    step = written(edges.join(known.withColumnRenamed("id", "to"), ["conv", "to"]).select("conv", "id", "to"), "steps")
     longest = known.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     steps = []
     while not step.isEmpty() and 1 << len(steps) <= longest:
         steps.append(step)
-        step = checkpoint(step.join(step.select("conv", F.col("id").alias("to"), F.col("to").alias("far")), ["conv", "to"]).select("conv", "id", F.col("far").alias("to")).distinct())
+        step = written(step.join(step.select("conv", F.col("id").alias("to"), F.col("to").alias("far")), ["conv", "to"]).select("conv", "id", F.col("far").alias("to")).distinct(), "steps")
     endless = step if not step.isEmpty() else None
     reached = known.select("conv", "id", F.col("id").alias("at"), F.lit(0).cast("long").alias("level"))
     for k in range(len(steps) - 1, -1, -1):
         jump = steps[k].select("conv", F.col("id").alias("at"), "to")
         moved = reached.join(jump, ["conv", "at"]).select("conv", "id", F.col("to").alias("at"), (F.col("level") + (1 << k)).alias("level")).distinct()
-        moved = checkpoint(moved)
-        reached = checkpoint(moved.unionByName(reached.join(moved.select("conv", "id").distinct(), ["conv", "id"], "left_anti")))
+        moved = written(moved, "levels")
+        reached = written(moved.unionByName(reached.join(moved.select("conv", "id").distinct(), ["conv", "id"], "left_anti")), "levels")
     found = reached.select("conv", "id", "level").distinct()
     return found if endless is None else found.join(endless.select("conv", "id").distinct(), ["conv", "id"], "left_anti")
 

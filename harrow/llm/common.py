@@ -20,7 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in a new place of the shared folder, read again."""
+    """df as a table written in a new place of the shared folder, read again.
+
+    It cuts the lineage as checkpoint() does, and the estimate of the size too: that of a checkpoint is the one of the plan behind it,
+    for a join the product of both sides, so in a loop of joins its digits double with each turn until they fill the driver.
+    """
     path = posixpath.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import checkpoint, few
+from harrow.llm.common import few, written
 
 #: Links that one task works on, about 4 MB.
 SHARE = 250_000
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     harm; without links there are no rows. Every shuffle is read by a task for each SHARE links, or by its partitions if these are fewer.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = checkpoint(links.distinct())
+    links = written(links.distinct(), "links")
     size = links.count()
 
     def small(df: DataFrame) -> DataFrame:
@@ -29,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     links, labels = small(links), None
     while labels is None or size:
         both = links.selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))")
-        step = checkpoint(small(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))))
+        step = written(small(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))), "hooks")
         while True:
             far = step.select(F.col("a").alias("to"), F.col("to").alias("root"))
-            jumped = checkpoint(small(step.join(far, "to").select("a", "to", "root")))
+            jumped = written(small(step.join(far, "to").select("a", "to", "root")), "hooks")
             step = jumped.select("a", F.col("root").alias("to"))
             if jumped.where("root <> to").isEmpty():
                 break
@@ -41,9 +41,9 @@ def components(links: DataFrame) -> DataFrame:
             labels, nodes = step.select(F.col("a").alias("id"), F.col("root").alias("component")), 2 * size
         else:
             joined = labels.join(step, F.col("component") == F.col("a"), "left").select("id", F.coalesce("root", "component").alias("component"))
-            labels = checkpoint(few(joined, nodes, SHARE))
+            labels = written(few(joined, nodes, SHARE), "labels")
         moved = small(links.join(step, "a").select(F.col("root").alias("a"), "b"))
         moved = small(moved.join(step.select(F.col("a").alias("b"), F.col("root").alias("to")), "b").where("a <> to"))
-        links = checkpoint(small(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct()))
+        links = written(small(moved.select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct()), "links")
         size = links.count()
     return labels

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.llm.common import checkpoint, few, mix, parts, shards, table, texts_of, tokens_of
+from harrow.llm.common import checkpoint, few, mix, parts, shards, table, texts_of, tokens_of, written
 from harrow.llm.components import components
 
 #: Postings that a task packs together.
@@ -297,10 +297,20 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, size: int) -> DataFrame:
-    """The rows, `size` at most, of n-grams on which two or more parts meet, with the smallest of these parts."""
+    """The rows, `size` at most, of n-grams on which two or more parts meet."""
     found = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    found = checkpoint(few(found.select("key", "least"), size, PREFIXES))
-    return checkpoint(few(rows.drop("least").join(found, "key"), size, PREFIXES))
+    return checkpoint(few(rows.join(checkpoint(few(found.select("key"), size, PREFIXES)), "key", "left_semi"), size, PREFIXES))
+
+
+def _crossing(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """All rows, with the part that has most rows of their n-gram, and the rows that are not in that part.
+
+    Two rows of different parts aren't both in the largest one, so no group of copies is held against itself, however large.
+    """
+    counts = few(rows.groupBy("key", "part").count(), size, PREFIXES)
+    largest = counts.groupBy("key").agg(F.max(F.struct("count", "part"))["part"].alias("largest"))
+    rows = written(few(rows.join(checkpoint(few(largest, size, PREFIXES)), "key"), size, PREFIXES), "prefixes")
+    return rows, rows.where("part <> largest")
 
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str = "text") -> DataFrame:
@@ -319,12 +329,12 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str
     def verify(joined: DataFrame) -> DataFrame:
         """Links among the pairs of joined that haven't been tried; tried and links are brought up to date."""
         nonlocal tried, links
-        pairs = checkpoint(joined)
+        pairs = written(joined, "pairs")
         number = pairs.count()
         if tried is not None:
             pairs = checkpoint(few(pairs.join(tried, ["a", "b"], "left_anti"), number, PREFIXES))
         tried = pairs if tried is None else tried.union(pairs)
-        new = checkpoint(verified(pairs, number, classes, num, den))
+        new = written(verified(pairs, number, classes, num, den), "links")
         links = new if links is None else links.union(new)
         return new
 
@@ -338,10 +348,10 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str
             break
         parts_of = components(links)
         rows = rows.join(parts_of, F.col("sig") == F.col("id"), "left").withColumn("part", F.coalesce("component", "part")).drop("id", "component")
-        rows = _mixed(checkpoint(few(rows, size, PREFIXES)), size)
-    # of two different parts, one at least isn't the smallest of the n-gram
-    other = rows.where("part <> least").select(F.struct(*value).alias("o"), F.col("key").alias("other"))
-    crossing = ((F.col("e.part") == F.col("e.least")) | (F.col("e.part") < F.col("o.part"))) & (F.col("e.part") != F.col("o.part"))
+        rows = _mixed(written(few(rows, size, PREFIXES), "prefixes"), size)
+    rows, other = _crossing(rows, size)
+    other = other.select(F.struct(*value).alias("o"), F.col("key").alias("other"))
+    crossing = ((F.col("e.part") == F.col("e.largest")) | (F.col("e.part") < F.col("o.part"))) & (F.col("e.part") != F.col("o.part"))
     verify(_pairs(rows.alias("e").join(other, (F.col("e.key") == F.col("other")) & crossing & _possible(num, den))))
     return components(links).select(F.col("id").alias("sig"), "component")
 
@@ -357,9 +367,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sets = checkpoint(document_sets(docs, size, id_col, text_col))
     links = linked_classes(docs, size, num, den, text_col)
     least = checkpoint(sets.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("least")))
-    joined = checkpoint(least.join(links, "sig", "left").select("sig", "n", "least", F.coalesce("component", "sig").alias("component")))
+    joined = written(least.join(links, "sig", "left").select("sig", "n", "least", F.coalesce("component", "sig").alias("component")), "classes")
     wide = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = checkpoint(joined.join(checkpoint(wide), "component").select("sig", "n", "component_id"))
+    named = written(joined.join(checkpoint(wide), "component").select("sig", "n", "component_id"), "classes")
     full = sets.where("n > 0").join(named, ["sig", "n"]).select("id", "n", "component_id")
     return full.union(sets.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
