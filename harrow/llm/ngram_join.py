@@ -33,6 +33,8 @@ MOST, MARK = 65_535, 0xFFFFFFFF
 #: Bits of the parity filter, and the columns that hold them.
 BITS = 256
 WORDS = [f"bits{i}" for i in range(BITS // 64)]
+#: Bytes of text whose postings one task takes, some two million n-grams, however many texts there are.
+SHARE = 12_000_000
 #: Rows of prefixes, and pairs of classes with their n-grams, that one task works on.
 PREFIXES, PAIRS = 200_000, 5_000
 #: Times that classes are held against one class for each n-gram before all remaining pairs are.
@@ -318,7 +320,8 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int, text_col: str
 
     Only components are made: two classes that are in one part by way of others are not compared, so links isn't the list of all links.
     """
-    ranges = shards(docs.sparkSession)
+    every = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    ranges = max(shards(docs.sparkSession), -(-every // SHARE))
     classes = checkpoint(candidates(shared_grams(postings(docs, size, ranges, text_col), ranges), ranges, num, den))
     rows = checkpoint(prefixes(classes, num, den).withColumn("part", F.col("sig")))
     size = rows.count()

@@ -32,7 +32,7 @@ from harrow.llm.common import fold_of, mix, parts, shards, table, texts_of, toke
 #: Longest n-grams; weight of the one-word model, as a number of tokens; weight of the model one word shorter from the third word on.
 ORDER, PRIOR, SHORTER = 3, 1000.0, 0.005
 #: Bits by which the word before is known within the range of its parent: at level 2, and at the levels below.
-BITS, MORE_BITS = 40, 32
+BITS, MORE_BITS = 40, 24
 #: Tokens that a task packs together, and texts (an index has 15 bits and one for training).
 PACKED, TEXTS = 2_000_000, 32_000
 #: Mean tokens of a shard, most shards of a task, and most n-grams of a length that are counted as hot (16 bytes each, broadcast).
@@ -420,7 +420,7 @@ def packed_tokens(docs: DataFrame, known: Totals, order: int, tasks: int) -> Dat
             for level, (ranks, at) in enumerate(zip(mine, starts, strict=True), 1):
                 k = words[ranks[at]]
                 k = cut(k, level) if level > 1 else k
-                arrays += [k] if level == 1 else [k.astype("<u4"), (k >> np.uint64(32)).astype("u1")] if level == 2 else [k.astype("<u4")]
+                arrays += [k] if level == 1 else [k.astype("<u4"), (k >> np.uint64(32)).astype("u1")] if level == 2 else [k.astype("<u2"), (k >> np.uint64(16)).astype("u1")]
                 below = np.searchsorted(starts[level], at) if level < order else at
                 arrays += narrow(np.diff(below, append=len(starts[level]) if level < order else b - a))
             r = int(shard[a])
@@ -469,8 +469,8 @@ class Shard:
         at = 0
         for level in range(1, self.order + 1):
             keys, at = arrays[at], at + 1
-            if level == 2:
-                keys, at = keys.astype(np.uint64) | arrays[at].astype(np.uint64) << np.uint64(32), at + 1
+            if level > 1:
+                keys, at = keys.astype(np.uint64) | arrays[at].astype(np.uint64) << np.uint64(32 if level == 2 else 16), at + 1
             self.keys[level - 1].append(keys)
             self.sizes[level - 1].append(widened(arrays[at], arrays[at + 1]))
             at += 2

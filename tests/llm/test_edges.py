@@ -388,6 +388,7 @@ def plain_components(sets, linked):
 def test_jaccard_against_brute_force(spark, monkeypatch, size, num, heavy, packed):
     monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     monkeypatch.setattr(ngram_join, "PACKED", packed)
+    monkeypatch.setattr(ngram_join, "SHARE", 30 * packed)
     rng = np.random.default_rng(size)
     texts = {}
     for base in range(6):
@@ -621,6 +622,48 @@ def test_quality(spark, docs, none, data):
     assert kept.columns == real.columns and kept.count() > 0.7 * real.count()
 
 
+def test_held_out_accuracy(spark):
+    """On documents that the queries didn't learn from."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    judged = language.op7_language(spark, folder).where("held_out").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id").toPandas()
+    assert len(judged) > 200 and (judged.lang == judged.lang_pred).mean() > 0.95
+    judged = quality.op8_quality(spark, folder).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(judged) > 60 and (judged.quality == judged.predicted).mean() > 0.9
+
+
+def test_letters():
+    assert not any(map(language.has_letter, ["", "12 _", "½", "²", "Ⅷ", "①", "\u0301", "😀"]))
+    assert all(map(language.has_letter, ["a", "1é", "ª", "ʰ", "一", "12 ж"]))
+
+
+def test_pooled_probabilities_position_by_position():
+    rng = np.random.default_rng(2)
+    net = language.Tagger(["a", "b", "c"], language.Direction.new(rng, 4), language.Direction.new(rng, 4), rng.standard_normal((8, 3)).astype(np.float32), np.zeros(3, np.float32))
+    texts = [b"", b"x", bytes(rng.integers(1, 256, 64).astype(np.uint8)), bytes(rng.integers(1, 256, 333).astype(np.uint8))]
+    for text, found in zip(texts, net.pooled(texts, batch=3), strict=True):
+        every = []
+        for at in range(0, len(text), language.WINDOW):
+            window = text[at : at + language.WINDOW]
+            steps = np.frombuffer(window.ljust(language.WINDOW, b"\0"), np.uint8)[:, None]
+            every += net.positions(steps)[: len(window), 0].tolist()
+        assert found == pytest.approx(np.mean(every, axis=0) if every else np.zeros(3), abs=1e-4)
+
+
+def test_context_vectors_word_by_word(spark):
+    texts = ["a b c a", None, "", "b b b", "c, d. é a", "b"]
+    places, signs = quality.index_vectors()
+    want, words = np.zeros((quality.ROWS, quality.WIDTH)), 0
+    for text in texts:
+        rows = quality.word_rows([(text or "").encode()])[0].tolist()
+        words += len(rows)
+        for i, j in zip(rows, rows[1:], strict=False):
+            np.add.at(want[i], places[j], signs[j])
+            np.add.at(want[j], places[i], signs[i])
+    found, count = quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert (found == want).all() and count == words
+
+
 def test_words_repeat_within_a_text_only():
     texts = [b"", b"a b", b"b b", b"", b"b", b"b"]
     rows, begins = quality.word_rows(texts)
