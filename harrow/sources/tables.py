@@ -191,7 +191,7 @@ class ChunkSource(DataSource):
 #: A quoted field may hold line breaks, so a file is one task, as a chunk is everywhere else. Spark takes an empty field for null. The separator is
 #: given, or Spark would guess it from what is quoted too; of lines that end in two characters the last field, a number, has one.
 LAST = "duration"
-CSV = {"header": False, "multiLine": True, "lineSep": "\n", "quote": '"', "escape": '"', "emptyValue": "", "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
+CSV = {"header": False, "multiLine": True, "lineSep": "\n", "charToEscapeQuoteEscaping": "\uffff", "quote": '"', "escape": '"', "emptyValue": "", "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
 
 
 def _whole(field: T.StructField) -> Column:
