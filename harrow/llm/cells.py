@@ -20,13 +20,20 @@ def cells_for(number: int) -> int:
     return max(1, round(number**0.5 / 8))
 
 
+def split(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(id, vec) of the rows with an id and a vector of finite components, not all 0, of the most common length (of several, the least); (id) of all others; that length."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    sound = F.coalesce(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
+    lengths = rows.where(sound).groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
+    length = lengths[0]["length"] if lengths else 0
+    sound = sound & (F.coalesce(F.size("vec"), F.lit(-1)) == length)
+    return rows.where(sound), rows.where(~sound).select("id"), length
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows with an id and a vector of finite components, not all 0, of the most common length (of several, the least)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = rows.where(sound & F.exists("vec", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
-    return rows.where(F.size("vec") == (lengths[0]["length"] if lengths else 0))
+    """(id, vec) of the rows whose vectors can be compared."""
+    return split(vectors, id_col, vec_col)[0]
 
 
 def matrix(column) -> np.ndarray:

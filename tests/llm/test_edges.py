@@ -563,6 +563,33 @@ def test_vectors_against_brute_force(spark, n):
     assert hits >= 0.9 * len(result)
 
 
+def test_vectors_are_moved_once(spark):
+    """Vectors without clusters, whose neighbours could live in every cell: what is shuffled grows with the rows, not with the cells."""
+    context = spark.sparkContext
+
+    def written():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    x = np.random.default_rng(8).standard_normal((4000, 64))
+    x[1::100] = x[::100] + 1e-3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    before = max(written(), default=-1)
+    found = vector_dedup.near_groups(df).where("not kept").toPandas()
+    assert sorted(found.vec_id) == list(range(1, 4000, 100)) and (found.n_links == 1).all() and sum(n for k, n in written().items() if k > before) < 3 * x.nbytes
+
+
+@pytest.mark.parametrize(("d", "spread"), [(3, 0.2), (64, 0.03), (64, 1.0)])
+def test_near_pairs_against_brute_force(d, spread):
+    rng = np.random.default_rng(d)
+    x, y = (cells.unit(rng.standard_normal((9, d))[rng.integers(0, 9, n)] + spread * rng.standard_normal((n, d))) for n in (700, 900))
+    y[:50] = x[:50]
+    basis, m = vector_dedup.basis_of(x, 0.1**0.5)
+    found = [(i, j) for a, b in vector_dedup.near_pairs(x, y, basis, m, 0.95) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(found) == list(zip(*(z.tolist() for z in np.nonzero(x @ y.T >= 0.95)), strict=True))
+
+
 def test_language(spark, docs, none, data):
     real = spark.read.parquet(f"{data}/documents.parquet")
     model = language.fit(real, documents=60)
