@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 from harrow.llm.common import checkpoint, few, mix, parts, shards, table, texts_of, tokens_of, written
 from harrow.llm.components import components
 
-#: Postings that a task packs together.
-PACKED = 3_000_000
+#: Postings that a task packs together; its memory grows with them.
+PACKED = 1_000_000
 TOKEN_BITS = 48
 #: An n-gram that so many classes of one pack have is heavy: its postings are dealt out by class as well, and it comes last in the global order.
-HEAVY = 256
+HEAVY = 96
 #: The count that stands for heavy n-grams, and the size of the class that stands in a pack's ordinary postings for all of a heavy n-gram's.
 MOST, MARK = 65_535, 0xFFFFFFFF
 #: Bits of the parity filter, and the columns that hold them.
@@ -164,6 +164,12 @@ def shared_grams(packed: DataFrame, ranges: int) -> DataFrame:
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])))[: len(token)]
         return token[new], sig[new], n[new]
 
+    def joined(pieces: list[np.ndarray]) -> np.ndarray:
+        """The pieces in one array; they are let go."""
+        whole = np.concatenate(pieces)
+        pieces.clear()
+        return whole
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {False: ([], [], []), True: ([], [], [])}
         for batch in batches:
@@ -174,15 +180,16 @@ def shared_grams(packed: DataFrame, ranges: int) -> DataFrame:
                 sigs.append(np.frombuffer(sig, np.int64)[at])
                 sizes.append(np.frombuffer(n, np.uint32)[at])
         if held[True][0]:
-            token, sig, n = distinct(*map(np.concatenate, held.pop(True)))
+            token, sig, n = distinct(*(joined(x) for x in held.pop(True)))
             yield back(sig, n, np.uint64(MOST << TOKEN_BITS) | token)
         if not held[False][0]:
             return
-        token, sig, n = map(np.concatenate, held.pop(False))
+        token, sig, n = (joined(x) for x in held.pop(False))
         order = np.argsort(token, kind="stable")
         ordered = token[order]
         same = ordered[1:] == ordered[:-1]
         order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        del ordered, same
         token, sig, n = distinct(token[order], sig[order], n[order])
         _, where, count = np.unique(token, return_inverse=True, return_counts=True)
         count = np.minimum(count, MOST - 1)

@@ -8,6 +8,7 @@ import lzma
 import math
 import re
 import urllib.parse
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
@@ -521,6 +522,26 @@ def test_words_of_a_family_have_different_hashes():
     assert len(set(found.tolist())) == 3
 
 
+def test_postings_in_little_memory(spark):
+    """What a task holds of its n-grams while it packs them."""
+
+    class Rows:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, function, schema: function
+
+    import pyarrow as pa
+
+    words = np.random.default_rng(2).integers(0, 10**6, (3300, 1000)).astype(str)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in words])], ["text"])
+    del words
+    run = ngram_join.postings(Rows(), 4, 20)
+    tracemalloc.start()
+    grams = sum(len(x) for found in run(iter([batch])) for x in found.column("low").to_pylist()) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert grams == 3300 * 997 and peak < 150e6
+
+
 VECTORS = [(1, [1.0, 0, 0]), (2, [2.0, 0.1, 0]), (3, [1.0, 0, 0]), (3, [1.0, 0, 0]), (4, [0.0, 1, 0]), (5, [0.0, 0, 0]), (6, None), (7, [1.0, None, 0]), (8, [float("nan"), 1, 1]), (9, [float("inf"), 1, 1]), (10, [1.0, 0]), (None, [1.0, 0, 0]), (11, [1e-200, 1e-200, 0]), (12, [1e200, 1.01e200, 0])]
 
 
