@@ -625,6 +625,29 @@ def test_language(spark, docs, none, data):
     assert kept.columns == real.columns and kept.count() > 0.97 * real.count()
 
 
+def test_every_document_is_learned_from_and_sets_the_threshold(spark, data, monkeypatch):
+    real = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    start = language.fit(real, documents=5)
+    found = language.learn(real, start)
+    again = language.learn(real.union(real.limit(3)).repartition(5), start)
+    assert all((a == b).all() for a, b in zip(found.parameters(), again.parameters(), strict=True))
+    for row in real.orderBy("doc_id").limit(200).collect()[::67]:
+        other = language.learn(real.where(F.col("doc_id") != row["doc_id"]), start)
+        assert any((a != b).any() for a, b in zip(found.parameters(), other.parameters(), strict=True))
+    assert language.learn(real, None) is None and language.learn(real.limit(0), start) is start
+    monkeypatch.setattr(language, "DOCUMENTS", 3)
+    judged = language.predict(real, start).toPandas()
+    scores = judged[judged.lang == judged.lang_pred].groupby("doc_id").score.min().sort_values().tolist()
+    assert language.threshold(real, start, 0.0) == max(1 / len(start.languages), scores[int(language.LOWEST * len(scores))])
+
+
+@pytest.mark.parametrize("values", [[0.5], [0.0, 1.0, 1.0], [0.3] * 9 + [np.nextafter(0.3, 1)], np.random.default_rng(4).random(2000).tolist()])
+def test_smallest(spark, values):
+    df = spark.createDataFrame([(float(x),) for x in values], "score double")
+    for k in {0, len(values) // 200, len(values) // 2, len(values) - 1}:
+        assert language.smallest(df, k) == sorted(values)[k]
+
+
 def test_unknown_languages_are_rejected_by_score(spark, data):
     real = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
     rng = np.random.default_rng(0)
