@@ -50,38 +50,6 @@ class Direction:
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(hidden)).astype(np.float32)
         return cls(draw(256, 3 * hidden), draw(hidden, 2 * hidden), draw(hidden, hidden))
 
-    def read(self, steps: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each of the steps (time x batch of bytes); with keep, what backpropagation needs."""
-        hidden = self.inner.shape[0]
-        state = np.zeros((steps.shape[1], hidden), np.float32)
-        out, kept = np.empty((len(steps), steps.shape[1], hidden), np.float32), []
-        for t, byte in enumerate(steps):
-            x = self.byte[byte]
-            both = sigmoid(x[:, : 2 * hidden] + state @ self.gates)
-            z, r = both[:, :hidden], both[:, hidden:]
-            held = r * state
-            c = np.tanh(x[:, 2 * hidden :] + held @ self.inner)
-            if keep:
-                kept.append((state, z, r, held, c))
-            state = out[t] = c + z * (state - c)
-        return out, kept
-
-    def back(self, steps: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
-        """Gradients of byte, gates and inner, from those of the states."""
-        d_byte, d_gates, d_inner = np.zeros_like(self.byte), np.zeros_like(self.gates), np.zeros_like(self.inner)
-        d_state = np.zeros_like(d_out[0])
-        for t in range(len(steps) - 1, -1, -1):
-            state, z, r, held, c = kept[t]
-            d = d_out[t] + d_state
-            d_c = d * (1 - z) * (1 - c * c)
-            d_held = d_c @ self.inner.T
-            d_both = np.concatenate((d * (state - c) * z * (1 - z), d_held * state * r * (1 - r)), axis=1)
-            d_inner += held.T @ d_c
-            d_gates += state.T @ d_both
-            np.add.at(d_byte, steps[t], np.concatenate((d_both, d_c), axis=1))
-            d_state = d * z + d_held * r + d_both @ self.gates.T
-        return [d_byte, d_gates, d_inner]
-
 
 @dataclass
 class Tagger:
@@ -94,32 +62,96 @@ class Tagger:
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.byte, self.ahead.gates, self.ahead.inner, self.behind.byte, self.behind.gates, self.behind.inner, self.weights, self.bias]
 
+    def read(self, steps: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States after each of the steps (time x batch of bytes), those of behind from the last step to the first: time x 2 x H x batch; with keep, what
+        backpropagation needs.
+
+        Both directions take a step at once, and a row of numbers runs over the batch, so each call of numpy works on long rows.
+        """
+        time, batch = steps.shape
+        hidden, both = self.ahead.inner.shape[0], (self.ahead, self.behind)
+        half = np.repeat(np.array([0.5, 1], np.float32), (2 * hidden, hidden))  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        byte = [np.ascontiguousarray((one.byte * half).T) for one in both]
+        gates, inner = np.stack([one.gates.T / 2 for one in both]), np.stack([one.inner.T for one in both])
+        places = time if keep else 1
+        gated = np.empty((places, 2, 2 * hidden, batch), np.float32)
+        held, new = (np.empty((places, 2, hidden, batch), np.float32) for _ in range(2))
+        x, out, at = np.empty((2, 3 * hidden, batch), np.float32), np.empty((time, 2, hidden, batch), np.float32), steps.astype(np.intp)
+        state = np.zeros((2, hidden, batch), np.float32)
+        for t in range(time):
+            np.take(byte[0], at[t], axis=1, out=x[0], mode="clip")
+            np.take(byte[1], at[time - 1 - t], axis=1, out=x[1], mode="clip")
+            g, h, c = (y[t if keep else 0] for y in (gated, held, new))
+            np.matmul(gates, state, out=g)
+            g += x[:, : 2 * hidden]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[:, hidden:], state, out=h)
+            np.matmul(inner, h, out=c)
+            c += x[:, 2 * hidden :]
+            np.tanh(c, out=c)
+            np.subtract(state, c, out=out[t])
+            state = out[t]
+            state *= g[:, :hidden]
+            state += c
+        return out, [gated, held, new]
+
+    def back(self, steps: np.ndarray, states: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
+        """Gradients of byte, gates and inner of both directions, from those of the states, which are written over."""
+        (gated, held, new), time, hidden = kept, len(steps), self.ahead.inner.shape[0]
+        gates, inner = (np.stack([getattr(one, name) for one in (self.ahead, self.behind)]) for name in ("gates", "inner"))
+        d_x = np.empty((time, 2, 3 * hidden, steps.shape[1]), np.float32)
+        d_state, start = np.zeros_like(d_out[0]), np.zeros_like(d_out[0])
+        for t in range(time - 1, -1, -1):
+            state, z, r, c, d = states[t - 1] if t else start, gated[t, :, :hidden], gated[t, :, hidden:], new[t], d_out[t]
+            d_z, d_r, d_c = d_x[t, :, :hidden], d_x[t, :, hidden : 2 * hidden], d_x[t, :, 2 * hidden :]
+            d += d_state
+            np.multiply(d, 1 - z, out=d_z)
+            np.multiply(d_z, 1 - c * c, out=d_c)
+            d_z *= z
+            d_z *= state - c
+            d_held = inner @ d_c
+            d_held *= r
+            np.multiply(d_held, state, out=d_r)
+            d_r *= 1 - r
+            np.matmul(gates, d_x[t, :, : 2 * hidden], out=d_state)
+            d_state += d_held
+            d *= z
+            d_state += d
+        d_gates = (states[:-1] @ d_x[1:, :, : 2 * hidden].swapaxes(2, 3)).sum(axis=0)
+        d_inner = (held @ d_x[:, :, 2 * hidden :].swapaxes(2, 3)).sum(axis=0)
+        found = []
+        for k, read in enumerate((steps, steps[::-1])):
+            at = read.ravel().astype(np.intp)
+            d_byte = [np.bincount(at, d_x[:, k, i].astype(np.float64).ravel(), 256) for i in range(3 * hidden)]
+            found += [np.array(d_byte, np.float32).T, d_gates[k], d_inner[k]]
+        return found
+
     def positions(self, steps: np.ndarray, keep: bool = False):
-        """Probabilities of the languages at every position: time x batch x languages."""
-        one, kept_one = self.ahead.read(steps, keep)
-        two, kept_two = self.behind.read(steps[::-1], keep)
-        states = np.concatenate((one, two[::-1]), axis=2)
-        logits = states @ self.weights + self.bias
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits, out=logits)
-        p /= p.sum(axis=2, keepdims=True)
-        return (p, states, kept_one, kept_two) if keep else p
+        """Probabilities of the languages at every position: time x batch x languages, in memory time x languages x batch."""
+        states, kept = self.read(steps, keep)
+        one, two = self.weights[: self.ahead.inner.shape[0]].T, self.weights[self.ahead.inner.shape[0] :].T
+        p = one @ states[:, 0]
+        p += two @ states[::-1, 1]
+        p += self.bias[:, None]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        return (p.swapaxes(1, 2), states, kept) if keep else p.swapaxes(1, 2)
 
     def gradients(self, steps: np.ndarray, real: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the real positions and its gradients; target: a language for each window."""
-        p, states, kept_one, kept_two = self.positions(steps, keep=True)
-        d, count = p.copy(), max(1, int(real.sum()))
+        p, states, kept = self.positions(steps, keep=True)
+        count, hidden = max(1, int(real.sum())), self.ahead.inner.shape[0]
         picked = p[:, np.arange(steps.shape[1]), target]
-        d[:, np.arange(steps.shape[1]), target] -= 1
-        d *= (real / np.float32(count))[:, :, None]
-        d_states = d @ self.weights.T
-        hidden = self.ahead.inner.shape[0]
-        return float(-(np.log(picked + 1e-9) * real).sum() / count), [
-            *self.ahead.back(steps, kept_one, d_states[:, :, :hidden]),
-            *self.behind.back(steps[::-1], kept_two, d_states[::-1, :, hidden:]),
-            np.einsum("tbh,tbl->hl", states, d),
-            d.sum(axis=(0, 1)),
-        ]
+        p[:, np.arange(steps.shape[1]), target] -= 1
+        p *= (real / np.float32(count))[:, :, None]
+        d, d_states = p.swapaxes(1, 2), np.empty_like(states)
+        np.matmul(self.weights[:hidden], d, out=d_states[:, 0])
+        np.matmul(self.weights[hidden:], d[::-1], out=d_states[:, 1])
+        d_weights = [(states[:, 0] @ p).sum(axis=0), (states[::-1, 1] @ p).sum(axis=0)]
+        return float(-(np.log(picked + 1e-9) * real).sum() / count), [*self.back(steps, states, kept, d_states), np.concatenate(d_weights), d.sum(axis=(0, 2))]
 
     def pooled(self, texts: list[bytes], batch: int = 2048) -> np.ndarray:
         """Mean probabilities over all positions of each text; zeros for an empty text."""

@@ -7,6 +7,7 @@ import json
 import lzma
 import math
 import re
+import time
 import urllib.parse
 import tracemalloc
 import zlib
@@ -677,6 +678,84 @@ def test_backpropagation():
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(g[at], rel=0.03, abs=1e-4)
 
 
+def plain_gradients(net, steps, target):
+    """Loss and gradients of net, each direction by itself, step by step, a row for each window."""
+
+    def read(one, steps):
+        h, state, kept = len(one.inner), np.zeros((steps.shape[1], len(one.inner)), np.float32), []
+        for byte in steps:
+            x = one.byte[byte]
+            both = language.sigmoid(x[:, : 2 * h] + state @ one.gates)
+            z, r = both[:, :h], both[:, h:]
+            c = np.tanh(x[:, 2 * h :] + (r * state) @ one.inner)
+            kept.append((state, z, r, c))
+            state = c + z * (state - c)
+        return np.array([k[0] for k in kept[1:]] + [state]), kept
+
+    def back(one, steps, kept, d_out):
+        d_byte, d_gates, d_inner, d_state = np.zeros_like(one.byte), np.zeros_like(one.gates), np.zeros_like(one.inner), 0
+        for byte, (state, z, r, c), d in zip(steps[::-1], kept[::-1], d_out[::-1], strict=True):
+            d = d + d_state
+            d_c = d * (1 - z) * (1 - c * c)
+            d_held = d_c @ one.inner.T
+            d_both = np.concatenate((d * (state - c) * z * (1 - z), d_held * state * r * (1 - r)), axis=1)
+            d_inner += (r * state).T @ d_c
+            d_gates += state.T @ d_both
+            np.add.at(d_byte, byte, np.concatenate((d_both, d_c), axis=1))
+            d_state = d * z + d_held * r + d_both @ one.gates.T
+        return [d_byte, d_gates, d_inner]
+
+    (one, kept_one), (two, kept_two) = read(net.ahead, steps), read(net.behind, steps[::-1])
+    states, h, real = np.concatenate((one, two[::-1]), axis=2), len(net.ahead.inner), (steps != 0).astype(np.float32)
+    p = np.exp(states @ net.weights + net.bias)
+    p /= p.sum(axis=2, keepdims=True)
+    loss = -(np.log(p[:, np.arange(len(target)), target]) * real).sum() / real.sum()
+    d = (p - np.eye(len(net.bias), dtype=np.float32)[target]) * (real / real.sum())[:, :, None]
+    d_states = d @ net.weights.T
+    return loss, [*back(net.ahead, steps, kept_one, d_states[:, :, :h]), *back(net.behind, steps[::-1], kept_two, d_states[::-1, :, h:]), np.einsum("tbh,tbl->hl", states, d), d.sum(axis=(0, 1))]
+
+
+def network(seed, hidden, languages):
+    rng = np.random.default_rng(seed)
+    return language.Tagger(list("abcdefg"[:languages]), language.Direction.new(rng, hidden), language.Direction.new(rng, hidden), rng.standard_normal((2 * hidden, languages)).astype(np.float32), rng.standard_normal(languages).astype(np.float32))
+
+
+@pytest.mark.parametrize(("length", "windows", "hidden", "languages"), [(1, 1, 1, 1), (2, 3, 5, 2), (64, 37, 8, 4), (64, 512, 8, 7)])
+def test_gradients_against_plain_ones(length, windows, hidden, languages):
+    net, rng = network(windows, hidden, languages), np.random.default_rng(length)
+    steps, target = rng.integers(1, 256, (length, windows)).astype(np.uint8), rng.integers(0, languages, windows)
+    steps[length // 2 + 1 :, ::3] = 0
+    loss, gradients = net.gradients(steps, (steps != 0).astype(np.float32), target)
+    expected, plain = plain_gradients(net, steps, target)
+    assert loss == pytest.approx(expected, rel=1e-5, abs=1e-6)
+    for found, right in zip(gradients, plain, strict=True):
+        assert found.shape == right.shape and np.allclose(found, right, rtol=1e-3, atol=1e-5 * max(1e-2, np.abs(right).max()))
+
+
+def test_learning_takes_less_time_than_step_by_step():
+    """The pipeline's CPU time is mostly that of these gradients."""
+    net, rng = network(0, language.HIDDEN, 4), np.random.default_rng(1)
+    steps, target = rng.integers(32, 112, (language.WINDOW, language.STEP)).astype(np.uint8), rng.integers(0, 4, language.STEP)
+    real = np.ones(steps.shape, np.float32)
+
+    def seconds(f):
+        took = []
+        for _ in range(7):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert seconds(lambda: net.gradients(steps, real, target)) < 0.7 * seconds(lambda: plain_gradients(net, steps, target))
+
+
+def test_probabilities_do_not_depend_on_the_batch():
+    net, rng = network(2, language.HIDDEN, 4), np.random.default_rng(3)
+    texts = [bytes(rng.integers(32, 112, n).astype(np.uint8)) for n in rng.integers(0, 900, 60)]
+    whole = net.pooled(texts)
+    assert all((net.pooled(texts, batch=n) == whole).all() for n in (1, 7, 64, 100)) and all((net.pooled([t])[0] == p).all() for t, p in zip(texts, whole, strict=True))
+
+
 def test_quality(spark, docs, none, data):
     real, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     odd_labels = labels.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (10**9, 0, 0)], labels.schema))
