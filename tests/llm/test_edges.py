@@ -649,6 +649,16 @@ def test_smallest(spark, values):
         assert language.smallest(df, k) == sorted(values)[k]
 
 
+def test_threshold_of_few_documents():
+    """Of draws of 66 scores, estimates drop a share LOWEST of all in the mean; the least scores drop three times that."""
+    rng = np.random.default_rng(6)
+    every = np.sort(1 / (1 + np.exp(-4 + rng.exponential(1, 20_000) - rng.exponential(1, 20_000))))
+    draws = np.sort(rng.choice(every, (400, 66)), axis=1)
+    dropped = np.searchsorted(every, [language.beyond(d.tolist()) for d in draws]) / len(every)
+    assert 0.5 * language.LOWEST < dropped.mean() < 1.5 * language.LOWEST < np.searchsorted(every, draws[:, 0]).mean() / len(every)
+    assert language.beyond([]) == language.beyond([0.9]) == 0 and language.beyond([0.0, 1.0]) < 1e-6 and language.beyond([0.9] * 9) == pytest.approx(0.9) and language.beyond([1.0] * 3) <= 1
+
+
 def test_unknown_languages_are_rejected_by_score(spark, data):
     real = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
     rng = np.random.default_rng(0)
